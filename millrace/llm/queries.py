@@ -26,6 +26,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import chat
 
@@ -46,6 +52,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_pack": op4_pack,
+    "op6_minhash": op6_minhash,
     "op9_chat_format": op9_chat_format,
     "op10_shard": op10_shard,
 }
