@@ -32,6 +32,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import pii
+
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import chat
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_pack": op4_pack,
     "op6_minhash": op6_minhash,
+    "op7_pii": op7_pii,
     "op9_chat_format": op9_chat_format,
     "op10_shard": op10_shard,
 }
