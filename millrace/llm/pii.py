@@ -312,3 +312,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     return rows.mapInArrow(run, schema)
+
+
+def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with its text redacted; every other column and null texts stay as they are."""
+    w = train()
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [None if t.as_py() is None else redact(t.as_py(), find(t.as_py(), w)[1]) for t in batch.column(at)]
+            columns = [pa.array(clean, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

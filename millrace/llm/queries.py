@@ -18,6 +18,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import decontam
+
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +69,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_language": op3_language,
     "op4_pack": op4_pack,
     "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
