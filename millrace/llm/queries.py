@@ -38,6 +38,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import embed_dedup
+
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import minhash
 
@@ -50,6 +56,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import substring
+
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import chat
 
@@ -72,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op4_pack": op4_pack,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
+    "op8_substring": op8_substring,
     "op9_chat_format": op9_chat_format,
     "op10_shard": op10_shard,
 }
