@@ -9,19 +9,22 @@ are confirmed on the full sets. No step emits all pairs of a bucket whose member
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, materialize
+from millrace.llm.common import components, gapless_rank, materialize
 
 #: A-Z to lower case and white space to blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: 32 bands of 4 values: a pair of similarity 0.75 shares none with a probability below 6e-6.
 PERMUTATIONS, ROWS = 64, 4
+#: Buckets of at most FEW rows give their pairs by a join, larger ones are compared in blocks of BLOCK rows.
+FEW, BLOCK = 48, 1024
 _rng = np.random.default_rng(29)
 _ODD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = [int(x) * 2 + 1 for x in _rng.integers(0, 2**62, 8)]
@@ -74,22 +77,24 @@ def _signed(found: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and the band keys."""
+    """doc_id, n_shingles, two digests of the set, the band keys, and a byte of each signature value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, keys = [], [], [], []
+            n, d1, d2, keys, low = [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), width)
                 n.append(len(found))
                 d1.append(_signed(found))
                 d2.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(_BASE[4]))).view(np.int64)) if len(found) else 0)
-                keys.append(band_keys(signature(found)) if len(found) else np.zeros(0, np.int64))
+                sig = signature(found) if len(found) else np.zeros(0, np.uint64)
+                keys.append(band_keys(sig) if len(found) else np.zeros(0, np.int64))
+                low.append(mix(sig).astype(np.uint8).tobytes())
             columns = [pa.array(x, pa.int64()) for x in (n, d1, d2)]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists], ["doc_id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists, pa.array(low, pa.binary())], ["doc_id", "n", "d1", "d2", "bands", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -114,6 +119,45 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def least_agreement(percent: int) -> float:
+    """Equal signature bytes that a pair at the threshold has but for a probability under 1e-5."""
+    p = percent / 100
+    return 2 * PERMUTATIONS * p - 4.5 * (2 * PERMUTATIONS * p * (1 - p)) ** 0.5
+
+
+def likely(near: DataFrame, percent: int) -> DataFrame:
+    """Of pairs with their signature bytes, those that may reach the threshold."""
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                kept = pa.array((p == q).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+    return near.select("xrep", "yrep", "xsig", "ysig").mapInArrow(run, "a long, b long")
+
+
+def block_pairs(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of two blocks of a large bucket, the pairs in different components that may reach the threshold."""
+    least = least_agreement(percent)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        rep, c, n, mine = (pdf[k].to_numpy() for k in ("rep", "c", "n", "mine"))
+        right = np.flatnonzero(mine == hi)
+        out = []
+        for i in np.flatnonzero(mine == lo):
+            j = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
+            out += [(min(rep[i], x), max(rep[i], x)) for x in rep[j].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -136,15 +180,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     within = buckets.join(ends.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     open_bands = within.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
     left = within.join(open_bands.select("band"), "band")
-    # what shares a bucket but no component is held together, each pair once; after that no pair is left open
-    more = (
-        left.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"))
-        .join(left.select("band", F.col("rep").alias("b"), F.col("c").alias("cb")), "band")
-        .where("ca != cb and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    # what shares a bucket but no component is held together; pairs that the signatures rule out aren't emitted
+    facts = found.select(F.col("doc_id").alias("rep"), "n", "sig")
+    left = materialize(left.select("band", "rep", "c").join(facts, "rep"), "open")
+    sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("rows"))
+    left = left.join(sizes, "band")
+    few = left.where(F.col("rows") <= FEW)
+    x, y = (few.select("band", *[F.col(c).alias(k + c) for c in ("rep", "c", "n", "sig")]) for k in "xy")
+    near = x.join(y, "band").where(f"xc != yc and xrep < yrep and 100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
+    many = gapless_rank(materialize(left.where(F.col("rows") > FEW), "many"), ["band"], ["rep"], 16, "r").withColumn("mine", F.floor(F.col("r") / BLOCK))
+    last = F.floor((F.col("rows") - 1) / BLOCK)
+    many = many.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("lo", F.least("mine", "theirs")).withColumn("hi", F.greatest("mine", "theirs"))
+    more = likely(near, percent).union(many.groupBy("band", "lo", "hi").applyInPandas(block_pairs(percent), "a long, b long"))
+    more = more.distinct().join(pairs, ["a", "b"], "left_anti")
     new = materialize(confirm(more, docs, width, percent), "links")
     if not new.isEmpty():
         ends = components(links.union(new))
