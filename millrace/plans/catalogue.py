@@ -391,3 +391,70 @@ def check_levels(spark: SparkSession, d: str) -> DataFrame:
 def find_key(spark: SparkSession, d: str) -> DataFrame:
     points = oplog(spark, d).where("key = 42").select(F.lit("point").alias("found"), "seq")
     return points.union(range_deletions(spark, d).where("start <= 42 and stop > 42").select(F.lit("rangedel").alias("found"), "seq"))
+
+
+@query(
+    "ingest_and_excise",
+    f"""WITH {LOG}, u AS (SELECT key, seq, kind, val FROM log WHERE key < 40 OR key >= 80
+UNION ALL SELECT o_custkey, 1000000, 'SET', max(CAST(round(o_totalprice * 100) AS BIGINT)) FROM orders WHERE o_custkey >= 40 AND o_custkey < 80 GROUP BY o_custkey), {resolved("u", None)} SELECT key, val FROM resolved""",
+)
+def ingest_and_excise(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where("o_custkey >= 40 and o_custkey < 80")
+    rows = o.groupBy(F.col("o_custkey").alias("key")).agg(F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("val")).withColumn("f", F.lit(1))
+    return view.resolve(maintain.ingest(maintain.excise(oplog(spark, d), 40, 80), rows, "f", 1_000_000)).select("key", "val")
+
+
+@query("level_scores", f"WITH {FILES}, l AS (SELECT level, CAST(sum(bytes) AS DOUBLE) AS bytes FROM files GROUP BY level) SELECT a.level, round(a.bytes / b.bytes, 9) AS ratio FROM l a JOIN l b ON b.level = a.level + 1")
+def level_scores(spark: SparkSession, d: str) -> DataFrame:
+    per = files(spark, d).groupBy("level").agg(F.sum("bytes").cast("double").alias("bytes"))
+    below = per.select((F.col("level") - 1).alias("level"), F.col("bytes").alias("below"))
+    return per.join(below, "level").select("level", F.round(F.col("bytes") / F.col("below"), 9).alias("ratio"))
+
+
+@query("disk_usage_by_placement", f"WITH {FILES} SELECT CASE WHEN level < 3 THEN 'local' WHEN level < 6 THEN 'shared' ELSE 'external' END AS placement, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes FROM files GROUP BY 1")
+def disk_usage_by_placement(spark: SparkSession, d: str) -> DataFrame:
+    place = F.when(F.col("level") < 3, "local").when(F.col("level") < 6, "shared").otherwise("external")
+    return files(spark, d).groupBy(place.alias("placement")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
+
+
+@query("protected_ranges_read", f"WITH {LOG}, k AS (SELECT * FROM log WHERE seq < 5000 AND (key BETWEEN 5 AND 14 OR key BETWEEN 70 AND 89)), {resolved('k', None)} SELECT key, val FROM resolved")
+def protected_ranges_read(spark: SparkSession, d: str) -> DataFrame:
+    return view.resolve(oplog(spark, d).where("key between 5 and 14 or key between 70 and 89"), None, 5000).select("key", "val")
+
+
+@query("durable_read", f"WITH {LOG}, k AS (SELECT * FROM log WHERE seq < (SELECT max(seq) // 2 FROM log)), {resolved('k', None)} SELECT key, n FROM resolved")
+def durable_read(spark: SparkSession, d: str) -> DataFrame:
+    log = oplog(spark, d)
+    flushed = log.agg(F.floor(F.max("seq") / 2).alias("flushed"))  # one row
+    return view.resolve(log.join(F.broadcast(flushed), F.col("seq") < F.col("flushed")).drop("flushed")).select("key", "n")
+
+
+@query("skip_point_filter", f"WITH {LOG}, k AS (SELECT * FROM log WHERE key % 4 <> 1), {resolved('k', None)} SELECT key, val FROM resolved")
+def skip_point_filter(spark: SparkSession, d: str) -> DataFrame:
+    return view.resolve(oplog(spark, d).where("key % 4 != 1")).select("key", "val")
+
+
+@query("overwrite_merge", f"WITH {LOG} SELECT key, max(seq) AS seq, arg_max(val, seq) AS val FROM log WHERE kind <> 'DEL' GROUP BY key")
+def overwrite_merge(spark: SparkSession, d: str) -> DataFrame:
+    return oplog(spark, d).where("kind != 'DEL'").groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("val", "seq").alias("val"))
+
+
+@query("single_delete", None)
+def single_delete(spark: SparkSession, d: str) -> DataFrame:
+    log = oplog(spark, d).withColumn("kind", F.when(F.col("kind") == "DEL", "SINGLEDEL").otherwise(F.col("kind")))
+    return maintain.single_delete_automaton(log)
+
+
+@query("deterministic_single_delete", f"WITH {LOG}, w AS (SELECT *, lead(kind) OVER (PARTITION BY key ORDER BY seq DESC) AS older, lead(kind, 2) OVER (PARTITION BY key ORDER BY seq DESC) AS oldest FROM log) SELECT key, seq, coalesce(older <> 'MERGE' AND coalesce(oldest = 'DEL', TRUE), TRUE) AS same FROM w WHERE kind = 'DEL'")
+def deterministic_single_delete(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("key").orderBy(F.col("seq").desc())
+    log = oplog(spark, d).withColumn("older", F.lead("kind").over(w)).withColumn("oldest", F.lead("kind", 2).over(w))
+    same = (F.col("older") != "MERGE") & F.coalesce(F.col("oldest") == "DEL", F.lit(True))
+    return log.where("kind = 'DEL'").select("key", "seq", F.coalesce(same, F.lit(True)).alias("same"))
+
+
+@query("manifest_current_files", "WITH e AS (SELECT o_orderkey % 500 AS file_id, o_orderkey AS edit_no, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'add' END AS action FROM orders), l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY edit_no DESC, action) AS r FROM e) SELECT file_id, edit_no FROM l WHERE r = 1 AND action = 'add'")
+def manifest_current_files(spark: SparkSession, d: str) -> DataFrame:
+    action = F.when(F.col("o_orderstatus") == "F", "delete").otherwise("add")
+    edits = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("file_id"), F.col("o_orderkey").alias("edit_no"), action.alias("action"))
+    return view.newest(edits, ["file_id"], [F.col("edit_no").desc(), F.col("action")]).where("action = 'add'").select("file_id", "edit_no")
