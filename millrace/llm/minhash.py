@@ -9,6 +9,7 @@ are confirmed on the full sets. No step emits all pairs of a bucket whose member
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from millrace.llm.common import components, gapless_rank, materialize
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: 32 bands of 4 values: a pair of similarity 0.75 shares none with a probability below 6e-6.
 PERMUTATIONS, ROWS = 64, 4
-#: Buckets of at most FEW rows give their pairs by a join, larger ones are compared in blocks of BLOCK rows.
-FEW, BLOCK = 48, 1024
+#: Buckets of at most FEW rows give their pairs by a join, larger ones are compared in blocks.
+FEW, BLOCK, BLOCK_SHINGLES = 48, 1024, 1 << 20
 _rng = np.random.default_rng(29)
 _ODD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = [int(x) * 2 + 1 for x in _rng.integers(0, 2**62, 8)]
@@ -139,25 +140,77 @@ def likely(near: DataFrame, percent: int) -> DataFrame:
     return near.select("xrep", "yrep", "xsig", "ysig").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of two blocks of a large bucket, the pairs in different components that may reach the threshold."""
-    least = least_agreement(percent)
+def set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text) to (rep, set): the full set as the bytes of its sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
+
+    return docs.mapInArrow(run, "rep long, set binary")
+
+
+def block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of two blocks of a large bucket, links on full sets that span what the blocks join of different components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        rep, c, n, mine = (pdf[k].to_numpy() for k in ("rep", "c", "n", "mine"))
-        right = np.flatnonzero(mine == hi)
-        out = []
-        for i in np.flatnonzero(mine == lo):
-            j = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            out += [(min(rep[i], x), max(rep[i], x)) for x in rep[j].tolist()]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        n = np.array([len(x) for x in sets])
+        # shingles numbered within the two blocks
+        known, number = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        rep, label = pdf["rep"].to_numpy(), np.unique(pdf["c"].to_numpy(), return_inverse=True)[1]
+        low = (pdf["cls"] == pdf["cls_lo"]).to_numpy() & (pdf["mine"] == pdf["lo"]).to_numpy()
+        high = (pdf["cls"] == pdf["cls_hi"]).to_numpy() & (pdf["mine"] == pdf["hi"]).to_numpy()
+        right = np.flatnonzero(high)
+        numbers = np.concatenate([number[ends[j] : ends[j + 1]] for j in right])
+        starts = np.concatenate([[0], np.cumsum(n[right])[:-1]])
+        mark, out = np.zeros(len(known), bool), []
+        for i in np.flatnonzero(low).tolist():
+            if (label[right] == label[i]).all():
+                continue
+            mine = number[ends[i] : ends[i + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[numbers], starts, dtype=np.int64)
+            mark[mine] = False
+            near = right[100 * both >= percent * (n[right] + n[i] - both)]
+            while len(near := near[label[near] != label[i]]):
+                j = near[0]
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def large_buckets(many: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of different components in (band, rep, c, n), found in pairs of blocks by full sets.
+
+    Sets that are similar enough differ in size by 100 / percent at most, so a bucket is cut into classes of
+    that ratio and a block meets those of its own and the next class only. A block holds at most BLOCK rows and
+    about BLOCK_SHINGLES shingles (or one row); a bucket of any size is compared whole.
+    """
+    ratio = max(math.log(100 / percent) * 1.000001, 0.01)
+    many = materialize(many.select("band", "rep", "c", "n", F.floor(F.log("n") / ratio).cast("int").alias("cls")), "many")
+    per = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.exp((F.col("cls") + 1) * ratio))))
+    ranked = gapless_rank(many, ["band", "cls"], ["rep"], 16, "r").withColumn("mine", F.floor(F.col("r") / per)).drop("r")
+    blocks = many.groupBy("band", "cls").agg(F.ceil(F.count(F.lit(1)) / per).alias("blocks"))
+    up, down = (blocks.select("band", (F.col("cls") + k).alias("cls"), F.col("blocks").alias(name)) for k, name in ((-1, "up"), (1, "down")))
+    dealt = ranked.join(blocks, ["band", "cls"]).join(up, ["band", "cls"], "left").join(down, ["band", "cls"], "left")
+    each = lambda size, f: F.when(F.col(size) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(size) - 1), f)).otherwise(F.array().cast("array<struct<cls_lo:int,lo:bigint,cls_hi:int,hi:bigint>>"))
+    meets = lambda c, x, d, y: F.struct(c.cast("int").alias("cls_lo"), x.alias("lo"), d.cast("int").alias("cls_hi"), y.alias("hi"))
+    cls, mine = F.col("cls"), F.col("mine")
+    met = F.concat(
+        each("blocks", lambda j: meets(cls, F.least(mine, j), cls, F.greatest(mine, j))),
+        each("up", lambda j: meets(cls, mine, cls + 1, j)),
+        each("down", lambda j: meets(cls - 1, j, cls, mine)),
+    )
+    dealt = dealt.select("band", "rep", "c", "cls", "mine", F.explode(met).alias("met")).select("band", "rep", "c", "cls", "mine", "met.*")
+    sets = set_rows(docs.join(many.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+    return dealt.join(sets, "rep").groupBy("band", "cls_lo", "lo", "cls_hi", "hi").applyInPandas(block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -188,12 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     few = left.where(F.col("rows") <= FEW)
     x, y = (few.select("band", *[F.col(c).alias(k + c) for c in ("rep", "c", "n", "sig")]) for k in "xy")
     near = x.join(y, "band").where(f"xc != yc and xrep < yrep and 100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
-    many = gapless_rank(materialize(left.where(F.col("rows") > FEW), "many"), ["band"], ["rep"], 16, "r").withColumn("mine", F.floor(F.col("r") / BLOCK))
-    last = F.floor((F.col("rows") - 1) / BLOCK)
-    many = many.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("lo", F.least("mine", "theirs")).withColumn("hi", F.greatest("mine", "theirs"))
-    more = likely(near, percent).union(many.groupBy("band", "lo", "hi").applyInPandas(block_pairs(percent), "a long, b long"))
-    more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-    new = materialize(confirm(more, docs, width, percent), "links")
+    more = likely(near, percent).distinct().join(pairs, ["a", "b"], "left_anti")
+    new = confirm(more, docs, width, percent).union(large_buckets(left.where(F.col("rows") > FEW), docs, width, percent))
+    new = materialize(new, "links")
     if not new.isEmpty():
         ends = components(links.union(new))
     named = sets.join(ends.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("d1", "d2", F.col("n").alias("_n"), F.coalesce("c", "rep").alias("c"))

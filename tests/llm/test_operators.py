@@ -49,6 +49,36 @@ def test_minhash(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_large_buckets(spark, monkeypatch):
+    """Chains of near copies beside documents that share most of a passage, in blocks of three rows."""
+    monkeypatch.setattr(minhash, "FEW", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+    shared, texts = prose(200), []
+    for k in range(12):
+        own = shared.split() + prose(20 + 9 * k).split()
+        for step in range(3):
+            texts.append(" ".join(own[: len(own) - 4 * step]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j, u in enumerate(sets):
+            if 100 * len(s & u) >= 75 * len(s | u):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    df = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate(texts)], DOC)
+    got = collect(minhash.near_duplicates(df))
+    assert [got[i]["component_id"] for i in range(len(texts))] == group
+
+    # the block path alone: every document of its own component, in one bucket
+    many = spark.createDataFrame([(1, i, i, len(s)) for i, s in enumerate(sets)], "band long, rep long, c long, n long")
+    links = {(r.a, r.b) for r in minhash.large_buckets(many, df.select("doc_id", "text"), 5, 75).collect()}
+    found = list(range(len(texts)))
+    for a, b in links:
+        assert 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+        found = [min(found[a], found[b]) if g in (found[a], found[b]) else g for g in found]
+    assert found == group
+
+
 def test_substring(spark):
     df, texts = documents(spark)
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
