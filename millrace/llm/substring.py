@@ -79,6 +79,7 @@ def repeated(places: DataFrame) -> DataFrame:
 def _settled(df: DataFrame, tag: str) -> DataFrame:
     """Written, and what was shuffled for it set free."""
     out = materialize(df, tag)
+    del df  # the last reference to the plan whose shuffles shall go
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
