@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import lean
+
 WINDOW, HIDDEN = 64, 8
 #: Rows that training takes at most, and the bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 1200, 512
@@ -195,4 +197,4 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | N
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, gapless_rank, materialize
+from millrace.llm.common import components, gapless_rank, lean, materialize
 
 #: A-Z to lower case and white space to blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists, pa.array(low, pa.binary())], ["doc_id", "n", "d1", "d2", "bands", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def least_agreement(percent: int) -> float:
@@ -137,7 +137,7 @@ def likely(near: DataFrame, percent: int) -> DataFrame:
                 kept = pa.array((p == q).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return near.select("xrep", "yrep", "xsig", "ysig").mapInArrow(run, "a long, b long")
+    return near.select("xrep", "yrep", "xsig", "ysig").mapInArrow(lean(run), "a long, b long")
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -148,7 +148,7 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
             found = [shingles(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
 
-    return docs.mapInArrow(run, "rep long, set binary")
+    return docs.mapInArrow(lean(run), "rep long, set binary")
 
 
 def block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import gapless_rank, materialize
+from millrace.llm.common import gapless_rank, lean, materialize
 
 #: Byte that ends a word in the merge table; it never occurs in UTF-8 text.
 WORD_END = b"\xff"
@@ -34,7 +34,7 @@ class WordTokenizer:
     strings of special tokens, go whole to the tokenizers library.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         import json
 
         import regex
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, path: str, most: int, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(cut), "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
 def pack_histogram(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import lean, materialize
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -73,7 +73,7 @@ def repeated(places: DataFrame) -> DataFrame:
         if held is not None and before is not None and held.column(0)[0].as_py() == before:
             yield from held.select([1, 2]).to_batches()
 
-    return places.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, at int")
+    return places.repartition("h").sortWithinPartitions("h").mapInArrow(lean(run), "doc_id long, at int")
 
 
 def _settled(df: DataFrame, tag: str) -> DataFrame:
@@ -144,6 +144,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     place = "h long, doc_id long, at int"
     by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("at").alias("places"))  # noqa: E731  a document's own places
-    shared = _settled(by_doc(repeated(docs.mapInArrow(anchors, place))), "anchors")
-    found = _settled(by_doc(repeated(docs.join(shared, "doc_id").mapInArrow(windows, place))), "windows")
-    return docs.join(found, "doc_id", "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    shared = _settled(by_doc(repeated(docs.mapInArrow(lean(anchors), place))), "anchors")
+    found = _settled(by_doc(repeated(docs.join(shared, "doc_id").mapInArrow(lean(windows), place))), "windows")
+    return docs.join(found, "doc_id", "left").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
