@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,15 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def _rows(h: list[np.ndarray], doc: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+    """A batch's places. What occurs twice in the batch needs no hash any more (null); a row at -1 stands for it elsewhere."""
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    value, number, count = np.unique(join(h, np.uint64).view(np.int64), return_inverse=True, return_counts=True)
+    more = value[count > 1]
+    blank = np.zeros(len(more), np.int64)
+    hashes = pa.array(np.concatenate([value[number], more]), mask=np.concatenate([count[number] > 1, blank > 0]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(join(h, np.uint64).view(np.int64)), pa.array(join(doc, np.int64)), pa.array(join(at, np.int32))], ["h", "doc_id", "at"]
+        [hashes, pa.array(np.concatenate([join(doc, np.int64), blank])), pa.array(np.concatenate([join(at, np.int32), (blank - 1).astype(np.int32)]))],
+        ["h", "doc_id", "at"],
     )
 
 
@@ -60,7 +67,9 @@ def repeated(places: DataFrame) -> DataFrame:
         held: pa.Table | None = None  # the last place, whose next neighbour isn't known yet
         before: int | None = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
+            sure = batch.column(0).is_null()
+            yield batch.filter(sure).select([1, 2])
+            t = pa.Table.from_batches([batch.filter(pa.compute.invert(sure))])
             t = pa.concat_tables([held, t]) if held is not None else t
             if not t.num_rows:
                 continue
@@ -73,7 +82,8 @@ def repeated(places: DataFrame) -> DataFrame:
         if held is not None and before is not None and held.column(0)[0].as_py() == before:
             yield from held.select([1, 2]).to_batches()
 
-    return places.repartition("h").sortWithinPartitions("h").mapInArrow(lean(run), "doc_id long, at int")
+    key = F.coalesce("h", F.xxhash64("doc_id", "at"))
+    return places.repartition(key).sortWithinPartitions("h").mapInArrow(lean(run), "doc_id long, at int").where("at >= 0")
 
 
 def _settled(df: DataFrame, tag: str) -> DataFrame:
