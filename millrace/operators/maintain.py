@@ -92,3 +92,45 @@ def single_delete_automaton(log: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["key", "seq", "kind", "val"])
 
     return log.select("key", "seq", "kind", "val").groupBy("key").applyInPandas(run, log.select("key", "seq", "kind", "val").schema)
+
+
+def beneath(files: DataFrame, deletions: DataFrame, cell: int = 100) -> DataFrame:
+    """Older files (smallest, largest, max_seq) that overlap each range deletion, a row per pair; by cells of the key space."""
+    cells = lambda df, a, b: df.withColumn("_cell", F.explode(F.sequence(F.expr(f"{a} div {cell}"), F.expr(f"{b} div {cell}"))))
+    f, d = cells(files, "smallest", "largest"), cells(deletions.where("start < stop"), "start", "(stop - 1)")
+    hit = f.join(d, "_cell").where("smallest < stop and largest >= start and max_seq < seq")
+    # a pair shows once: in the first cell that both have
+    return hit.where(F.col("_cell") == F.greatest(F.expr(f"smallest div {cell}"), F.expr(f"start div {cell}"))).drop("_cell")
+
+
+def wholly_deleted(files: DataFrame, deletions: DataFrame, cell: int = 100) -> DataFrame:
+    """Files that a newer range deletion holds whole."""
+    d = deletions.where("start < stop").withColumn("_cell", F.explode(F.sequence(F.expr(f"start div {cell}"), F.expr(f"(stop - 1) div {cell}"))))
+    f, d = files.withColumn("_cell", F.expr(f"smallest div {cell}")).alias("f"), d.alias("d")
+    on = (F.col("f._cell") == F.col("d._cell")) & F.expr("d.start <= f.smallest and f.largest < d.stop and f.max_seq < d.seq")
+    return f.join(d, on, "left_semi").drop("_cell")
+
+
+def target_level(new: DataFrame, files: DataFrame, bottom: int, cell: int = 100) -> DataFrame:
+    """(id, target) for files to ingest (id, lo, hi): the level above the first that overlaps, or the bottom."""
+    n = new.withColumn("_cell", F.explode(F.sequence(F.expr(f"lo div {cell}"), F.expr(f"hi div {cell}")))).alias("n")
+    f = files.withColumn("_cell", F.explode(F.sequence(F.expr(f"smallest div {cell}"), F.expr(f"largest div {cell}")))).alias("f")
+    hit = n.join(f, (F.col("n._cell") == F.col("f._cell")) & F.expr("f.smallest <= n.hi and f.largest >= n.lo"), "left")
+    first = F.min("level")
+    return hit.groupBy("id").agg(F.when(first.isNull(), F.lit(bottom)).otherwise(F.greatest(first - 1, F.lit(0))).alias("target"))
+
+
+def compact_range_keys(frags: DataFrame, snapshots: list[int]) -> DataFrame:
+    """Fragments of range keys coalesced per stripe: the newest DEL, and what isn't older, the newest per suffix.
+
+    Beneath the last stripe there is nothing, so its UNSETs and DELs go.
+    """
+    part = frags.withColumn("stripe", stripe(F.col("seq"), snapshots))
+    span = Window.partitionBy("start", "stop", "stripe")
+    dead = F.coalesce(F.max(F.when(F.col("kind") == "DEL", F.col("seq"))).over(span), F.lit(-1))
+    suffix = F.when(F.col("kind") != "DEL", F.col("suffix"))
+    rank = F.when(F.col("kind") == "SET", 0).otherwise(1)
+    per = Window.partitionBy("start", "stop", "stripe", F.col("kind") == "DEL", "suffix").orderBy(F.col("seq").desc(), rank, F.col("val").desc())
+    alive = part.withColumn("_dead", dead).where("seq >= _dead").withColumn("suffix", suffix)
+    out = alive.withColumn("_r", F.row_number().over(per)).where("_r = 1").drop("_r", "_dead")
+    return out.where("not (stripe = 0 and kind != 'SET')")

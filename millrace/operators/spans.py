@@ -60,3 +60,11 @@ def excise(spans: DataFrame, lower: int, upper: int) -> DataFrame:
     left = spans.withColumn("stop", F.least("stop", F.lit(lower)))
     right = spans.withColumn("start", F.greatest("start", F.lit(upper)))
     return left.unionByName(right).where("start < stop")
+
+
+def join_abutting(frags: DataFrame, same: list[str]) -> DataFrame:
+    """Fragments that abut and are equal in the given columns become one."""
+    w = Window.partitionBy(*same).orderBy("start")
+    new = F.coalesce((F.lag("stop").over(w) != F.col("start")).cast("int"), F.lit(1))
+    runs = frags.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    return runs.groupBy(*same, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")

@@ -61,3 +61,33 @@ def level_violations(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("level", F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     above = F.min("seq").over(w)
     return log.withColumn("_above", above).where("seq > _above").drop("_above")
+
+
+def span_bytes(files: DataFrame, lower: int, upper: int) -> DataFrame:
+    """Files that overlap [lower, upper] with the bytes they hold in it; a file cut by a bound counts by its share of keys."""
+    cut = F.expr(f"bytes * (least(largest, {upper}) - greatest(smallest, {lower}) + 1) div (largest - smallest + 1)")
+    whole = (F.col("smallest") >= lower) & (F.col("largest") <= upper)
+    return files.where((F.col("smallest") <= upper) & (F.col("largest") >= lower)).withColumn("span_bytes", F.when(whole, F.col("bytes")).otherwise(cut))
+
+
+def compaction_jobs(lines: DataFrame) -> DataFrame:
+    """Of log lines (line) the finished jobs: node, job, levels, bytes and seconds, starts paired with ends."""
+    pick = lambda pattern, k=1: F.regexp_extract("line", pattern, k)
+    head = r"^I(\d{6} \d\d:\d\d:\d\d) \[n(\d+)\] \[JOB (\d+)\]"
+    read = lines.select(
+        F.unix_timestamp(pick(head), "yyMMdd HH:mm:ss").alias("at"), pick(head, 2).cast("long").alias("node"), pick(head, 3).cast("long").alias("job"), "line"
+    )
+    unit = F.create_map(*[x for k, u in enumerate(("B", "KB", "MB", "GB", "TB")) for x in (F.lit(u), F.lit(1024**k))])
+    move = r"compacting L(\d) -> L(\d) \(([0-9.]+)([KMGT]?B)\)"
+    began = read.where(F.col("line").contains("] compacting ")).select(
+        "node", "job", F.col("at").alias("began"), pick(move).cast("long").alias("from_level"), pick(move, 2).cast("long").alias("to_level"),
+        F.round(pick(move, 3).cast("double") * unit[pick(move, 4)]).cast("long").alias("bytes"),
+    )
+    done = read.where(F.col("line").contains("] compacted")).select("node", "job", F.col("at").alias("ended"))
+    return began.join(done, ["node", "job"]).withColumn("seconds", F.col("ended") - F.col("began")).drop("began", "ended")
+
+
+def order_violations(rows: DataFrame, file_col: str, key: str, order: list[str]) -> DataFrame:
+    """Per file its entries, and those that stand after a larger key."""
+    before = F.lag(key).over(Window.partitionBy(file_col).orderBy(*order))
+    return rows.withColumn("_before", before).groupBy(file_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_before") > F.col(key)).alias("unsorted"))

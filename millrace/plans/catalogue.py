@@ -20,10 +20,10 @@ STRIPES, SNAPSHOT = [3000, 6000], 8000
 LOG = """log AS (SELECT user_id AS key, event_id + 10 AS seq,
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'SET' WHEN event_type = 'error' THEN 'DEL' ELSE 'MERGE' END AS kind,
   CAST(round(value * 100) AS BIGINT) AS val, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day FROM events)"""
-DELS = "dels AS (SELECT user_id AS start, user_id + 5 AS stop, event_id + 10 AS seq FROM events WHERE event_id % 500 = 499)"
-MARKS = """marks AS (SELECT user_id AS start, user_id + 12 AS stop, event_id + 10 AS seq,
-  CASE WHEN (event_id // 250) % 4 < 2 THEN 'SET' WHEN (event_id // 250) % 4 = 2 THEN 'UNSET' ELSE 'DEL' END AS kind,
-  datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS suffix, CAST(round(value * 100) AS BIGINT) AS val FROM events WHERE event_id % 250 = 0)"""
+DELS = "dels AS (SELECT s_suppkey AS start, s_suppkey + 5 AS stop, s_suppkey * 60 + s_nationkey * 100 + 10 AS seq FROM supplier)"
+MARKS = """marks AS (SELECT s_suppkey AS start, s_suppkey + 12 AS stop, s_suppkey * 60 + s_nationkey * 100 + 15 AS seq,
+  CASE WHEN s_nationkey % 4 < 2 THEN 'SET' WHEN s_nationkey % 4 = 2 THEN 'UNSET' ELSE 'DEL' END AS kind,
+  19800 + s_nationkey * 15 AS suffix, CAST(round(s_acctbal * 100) AS BIGINT) AS val FROM supplier)"""
 FILES = """files AS (SELECT o_orderkey // 100 AS file_id, min(o_orderkey) AS smallest, max(o_orderkey) AS largest, count(*) AS entries,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS bytes, (o_orderkey // 100) % 7 AS level FROM orders GROUP BY o_orderkey // 100)"""
 FRAGS = """cuts AS (SELECT start AS edge FROM marks UNION SELECT stop FROM marks),
@@ -85,17 +85,17 @@ def point_get(spark: SparkSession, d: str) -> DataFrame:
     return view.resolve(oplog(spark, d).where("key = 7")).select("key", "val", "trail")
 
 
-@query("multi_get", f"WITH {LOG}, chosen AS (SELECT * FROM log WHERE key IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)), {resolved('chosen', None)} SELECT key, val FROM resolved")
+@query("multi_get", f"WITH {LOG}, chosen AS (SELECT * FROM log WHERE key IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')), {resolved('chosen', None)} SELECT key, val FROM resolved")
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"))
+    wanted = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
     return view.resolve(oplog(spark, d).join(wanted, "key", "left_semi")).select("key", "val")
 
 
-BATCH = "batch AS (SELECT o_custkey AS key, o_orderkey + 36028797018963968 AS seq, 'MERGE' AS kind, CAST(round(o_totalprice * 100) AS BIGINT) AS val, 0 AS day FROM orders WHERE o_orderkey % 10 = 0)"
+BATCH = "batch AS (SELECT o_custkey AS key, o_orderkey + 36028797018963968 AS seq, 'MERGE' AS kind, CAST(round(o_totalprice * 100) AS BIGINT) AS val, 0 AS day FROM orders)"
 
 
 def _batch(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     return o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.lit("MERGE").alias("kind"), F.round(F.col("o_totalprice") * 100).cast("long").alias("val"), F.lit(0).cast("long").alias("day"))
 
 
@@ -144,12 +144,12 @@ def first_last(spark: SparkSession, d: str) -> DataFrame:
     return v.agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min_by("val", "key").alias("first_val"), F.max_by("val", "key").alias("last_val"))
 
 
-PROBES = "probes AS (SELECT DISTINCT l_partkey * 3 AS probe FROM lineitem), ks AS (SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderkey % 7 = 0)"
+PROBES = "probes AS (SELECT DISTINCT l_partkey * 3 AS probe FROM lineitem), ks AS (SELECT DISTINCT o_orderkey * 7 AS key FROM orders)"
 
 
 def _seek(spark: SparkSession, d: str, forward: bool) -> DataFrame:
     probes = table(spark, d, "lineitem").select((F.col("l_partkey") * 3).alias("probe")).distinct()
-    ks = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("key")).distinct()
+    ks = table(spark, d, "orders").select((F.col("o_orderkey") * 7).alias("key")).distinct()
     return view.seek(ks, probes, forward)
 
 
@@ -309,9 +309,9 @@ def blob_live_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "n_chars")
 
 
-@query("suffix_rewrite", "SELECT conv_id || '@' || 99 AS key, conv_id AS prefix, 99 AS suffix FROM conversations WHERE turn = 0")
+@query("suffix_rewrite", "SELECT conv_id || '@' || 99 AS key, conv_id AS prefix, 99 AS suffix FROM conversations")
 def suffix_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("turn = 0")
+    c = table(spark, d, "conversations")
     key = F.concat(keys.prefix(F.concat_ws("@", "conv_id", "turn")), F.lit("@99"))
     return c.select(key.alias("key"), keys.prefix(key).cast("long").alias("prefix"), keys.suffix(key).cast("int").alias("suffix"))
 
@@ -336,9 +336,9 @@ def level_metrics(spark: SparkSession, d: str) -> DataFrame:
     return stats.level_metrics(files(spark, d))
 
 
-@query("read_amp", "WITH e AS (SELECT event_id AS edge, 1 AS d FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id + 50 + user_id + 1, -1 FROM events WHERE event_id % 3 = 0), g AS (SELECT edge, sum(d) AS d FROM e GROUP BY edge) SELECT CAST(max(depth) AS BIGINT) AS depth FROM (SELECT sum(d) OVER (ORDER BY edge) AS depth FROM g)")
+@query("read_amp", "WITH e AS (SELECT event_id AS edge, 1 AS d FROM events UNION ALL SELECT event_id + 50 + user_id + 1, -1 FROM events), g AS (SELECT edge, sum(d) AS d FROM e GROUP BY edge) SELECT CAST(max(depth) AS BIGINT) AS depth FROM (SELECT sum(d) OVER (ORDER BY edge) AS depth FROM g)")
 def read_amp(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 3 = 0")
+    e = table(spark, d, "events")
     return stats.stabbing_depth(e.select(F.col("event_id").alias("smallest"), (F.col("event_id") + 50 + F.col("user_id")).alias("largest")))
 
 

@@ -27,20 +27,21 @@ def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 500 = 499")
-    return e.select(F.col("user_id").alias("start"), (F.col("user_id") + 5).alias("stop"), (F.col("event_id") + FIRST_SEQ).alias("seq"))
+    """A range deletion per supplier."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("start"), (k + 5).alias("stop"), (k * 60 + F.col("s_nationkey") * 100 + FIRST_SEQ).alias("seq"))
 
 
 def range_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 250 = 0")
-    turn = F.pmod(F.expr("event_id div 250"), F.lit(4))
-    return e.select(
-        F.col("user_id").alias("start"),
-        (F.col("user_id") + 12).alias("stop"),
-        (F.col("event_id") + FIRST_SEQ).alias("seq"),
-        F.when(turn < 2, "SET").when(turn == 2, "UNSET").otherwise("DEL").alias("kind"),
-        F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("suffix"),
-        F.round(F.col("value") * 100).cast("long").alias("val"),
+    """A range key operation per supplier, its kind by the nation."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("start"),
+        (k + 12).alias("stop"),
+        (k * 60 + n * 100 + FIRST_SEQ + 5).alias("seq"),
+        F.when(n % 4 < 2, "SET").when(n % 4 == 2, "UNSET").otherwise("DEL").alias("kind"),
+        (n * 15 + 19800).alias("suffix"),
+        F.round(F.col("s_acctbal") * 100).cast("long").alias("val"),
     )
 
 
