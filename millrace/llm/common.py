@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Rows that a Python worker gets at a time: with whole texts in them, batches of the default size take hundreds of MB.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Whether a write's shuffles go as it ends, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,15 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The write plans anew, so the shuffles that go with it are its own; a job that runs later has none of them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
+    before, cleanup = spark.conf.get(BATCH), spark.conf.get(CLEANUP)
     spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, before)
+        spark.conf.set(CLEANUP, cleanup)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,6 @@ stream of neighbours: no group is ever collected and no pairs are made.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -86,15 +85,6 @@ def repeated(places: DataFrame) -> DataFrame:
     return places.repartition(key).sortWithinPartitions("h").mapInArrow(lean(run), "doc_id long, at int").where("at >= 0")
 
 
-def _settled(df: DataFrame, tag: str) -> DataFrame:
-    """Written, and what was shuffled for it set free."""
-    out = materialize(df, tag)
-    del df  # the last reference to the plan whose shuffles shall go
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept.
 
@@ -154,6 +144,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     place = "h long, doc_id long, at int"
     by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("at").alias("places"))  # noqa: E731  a document's own places
-    shared = _settled(by_doc(repeated(docs.mapInArrow(lean(anchors), place))), "anchors")
-    found = _settled(by_doc(repeated(docs.join(shared, "doc_id").mapInArrow(lean(windows), place))), "windows")
+    shared = materialize(by_doc(repeated(docs.mapInArrow(lean(anchors), place))), "anchors")
+    found = materialize(by_doc(repeated(docs.join(shared, "doc_id").mapInArrow(lean(windows), place))), "windows")
     return docs.join(found, "doc_id", "left").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
