@@ -14,8 +14,7 @@ LEAST_SCORE = 0.34
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go, those without a letter and those that no language fits."""
-    found = materialize(langid.identify(docs), "languages").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return materialize(langid.with_language(docs, LEAST_SCORE), "languages")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

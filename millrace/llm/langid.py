@@ -174,23 +174,30 @@ def held_out() -> object:
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
 
 
+def learn(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
+    """A model from a bounded sample of the rows that aren't held out; without languages if there is none to learn."""
+    rows = sample(docs, ~F.coalesce(held_out(), F.lit(False)))
+    return fit(rows) if rows else ([], {})
+
+
+def judge(model: tuple[list[str], dict[str, np.ndarray]], texts: list[str | None]) -> list[tuple[str, float]]:
+    langs, w = model
+    return predict(langs, w, texts) if langs else [("und", 0.0)] * len(texts)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | None = None) -> DataFrame:
     """docs (doc_id, text, lang) to (doc_id, held_out, lang_pred, score), a row per row.
 
     Without a model one is trained on a bounded sample of the rows that aren't held out. "und" stands for null
     texts and those without a letter, and for all rows if none has a language to learn. Extra columns are ignored.
     """
-    if model is None:
-        rows = sample(docs, ~F.coalesce(held_out(), F.lit(False)))
-        model = fit(rows) if rows else None
-    langs, w = model or ([], {})
+    model = model or learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                found = predict(langs, w, texts) if langs else [("und", 0.0)] * len(texts)
+                found = judge(model, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                     ["doc_id", "held_out", "lang_pred", "score"],
@@ -198,3 +205,22 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | N
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, least: float, model: tuple[list[str], dict[str, np.ndarray]] | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, that have a language with a probability of `least` or more.
+
+    Each row is judged where it lies, by its text alone: ids may be null or repeat. Null texts and those without
+    a letter go; no rows give no rows.
+    """
+    model = model or learn(docs)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = judge(model, part.column(text).to_pylist())
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(lean(run), docs.schema)
