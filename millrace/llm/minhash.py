@@ -49,7 +49,9 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     if len(h) < width:
-        return mix(np.array([int(mix(h * np.uint64(_BASE[7])).sum()) ^ len(h)], np.uint64) + np.uint64(len(h)))
+        # a multiplier and an offset per place, as below, so the order of the words counts
+        placed = mix(h * np.array(_BASE[: len(h)], np.uint64) + np.arange(1, len(h) + 1, dtype=np.uint64))
+        return mix(np.array([placed.sum()], np.uint64) + np.uint64(len(h)))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
         out += mix(h[k : len(h) - width + 1 + k] * np.uint64(_BASE[k]) + np.uint64(k + 1))

@@ -1,0 +1,11 @@
+"""Cases that the operators once left out."""
+
+from millrace.llm import minhash
+
+
+def test_minhash_order_of_short_texts(spark):
+    texts = ["a b", "b a", "x y z w", "w z y x", "A  b", "a", "a a"]
+    assert len({minhash.shingles(t).tobytes() for t in texts}) == 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: (i, True) for i in range(7) if i != 4} | {4: (0, False)}
