@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, minhash, packing, pii
-from millrace.llm.common import materialize
+from millrace.llm.common import free_name, materialize, with_row_key
 
 #: A document's language has to be this sure; an even guess between four languages is 0.25.
 LEAST_SCORE = 0.34
@@ -18,15 +18,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates stays."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates stays: of the smallest id, null ids last, and of equal ids any one.
+
+    Rows are told apart by a key of their own, so ids may be null, repeated or shared by different texts.
+    """
+    key = free_name(docs, "_row")
+    rows = with_row_key(docs, key)
+    found = minhash.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    grouped = materialize(found.join(ids, "row"), "groups")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("unnamed", "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
+    gone = grouped.join(first.where("size > 1"), "component_id").where("row != first.row").select(F.col("row").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    found = materialize(decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold an item of the benchmark go, each judged by its own text."""
+    key = free_name(docs, "_row")
+    rows = with_row_key(docs, key)
+    found = decontam.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    gone = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a distinct long per row in `name`, written down: every later read sees the same key at the same row."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -1,5 +1,8 @@
 """Cases that the operators once left out."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from millrace.llm import minhash
 
 
@@ -9,3 +12,19 @@ def test_minhash_order_of_short_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
     assert got == {i: (i, True) for i in range(7) if i != 4} | {4: (0, False)}
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    copied, leak, clean = ("one two three four five six seven", "the benchmark asks how many apples are left over here", "nothing of note stands in this line of text")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, copied, "null"), (None, copied, "null"), (4, copied, "four"), (4, copied, "four"), (6, copied, "six"), (6, clean, "other"), (None, leak, "null"), (None, leak, "null"), (7, None, None), (7, None, None)]
+    got = pipeline.near_duplicates(spark, docs(rows), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "_row"]
+    kept = [(4, copied, "four"), (6, clean, "other"), (7, None, None), (7, None, None), (None, leak, "null")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(kept, key=repr)
+    rows = [(None, "so " + leak, "x"), (5, leak, "x"), (5, clean, "x"), (5, clean, "x"), (None, clean, "x"), (None, None, None)]
+    got = pipeline.decontaminate(spark, docs(rows), str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([r for r in rows if leak not in (r[1] or "")], key=repr)
+    assert pipeline.decontaminate(spark, docs(rows).where(F.lit(False)), str(tmp_path)).count() == 0
