@@ -100,7 +100,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|[^\w\s]|_")
 TRIGGER = re.compile(r"[0-9][0-9 ()./-]{5,40}[0-9]|[\[(] ?at ?[\])]|@")
-LONGEST, MARGIN, MOST_TOKENS = 14, 32, 64
+LONGEST, MARGIN = 14, 32
 
 
 def features(tokens: list[str], i: int, j: int) -> list[float]:
@@ -248,21 +248,22 @@ def decode(tokens: list[str], w: np.ndarray) -> list[tuple[int, int, int]]:
 def field_spans(text: str, taken: list[Span], w: np.ndarray) -> dict[str, list[Span]]:
     """Spans that the field finds around triggers and that touch no taken span."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    taken = sorted(taken)
-    done = 0
-    for m in TRIGGER.finditer(text):
-        if m.start() < done or any(s < m.end() and m.start() < e for s, e in taken):
-            continue
-        lo = max([done, m.start() - MARGIN, *(e for _, e in taken if e <= m.start())])
-        hi = min([len(text), m.end() + MARGIN, *(s for s, _ in taken if s >= m.end())])
-        spots = [t.span() for t in TOKEN.finditer(text, lo, hi)][:MOST_TOKENS]
-        for i, j, k in decode([text[a:b] for a, b in spots], w) if spots else ():
-            start, end = spots[i][0], spots[j - 1][1]
-            whole = not (start == lo and lo and text[lo - 1].isalnum() and text[lo].isalnum()) and not (end == hi < len(text) and text[hi].isalnum())
-            if whole and start >= done:
-                out[KINDS[k]].append((start, end))
-                done = end
-        done = max(done, m.end())
+    edge = 0
+    for first, after in [*sorted(taken), (len(text), len(text))]:
+        done, hit = edge, TRIGGER.search(text, edge, first)
+        while hit:
+            lo, hi = max(done, hit.start() - MARGIN), min(first, hit.end() + MARGIN)
+            spots = [t.span() for t in TOKEN.finditer(text, lo, hi)]
+            at = hit.end()
+            for i, j, k in decode([text[a:b] for a, b in spots], w):
+                start, end = spots[i][0], spots[j - 1][1]
+                whole = not (start == lo and lo and text[lo - 1].isalnum() and text[lo].isalnum()) and not (end == hi < len(text) and text[hi].isalnum())
+                if whole and start >= done:
+                    out[KINDS[k]].append((start, end))
+                    done = end
+            done = at = max(done, at)
+            hit = TRIGGER.search(text, at, first)
+        edge = max(edge, after)
     return out
 
 

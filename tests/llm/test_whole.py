@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import minhash
+from millrace.llm import minhash, pii
 
 
 def test_minhash_order_of_short_texts(spark):
@@ -28,3 +28,19 @@ def test_stages_judge_rows(spark, tmp_path):
     got = pipeline.decontaminate(spark, docs(rows), str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([r for r in rows if leak not in (r[1] or "")], key=repr)
     assert pipeline.decontaminate(spark, docs(rows).where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_pii_numbers_beside_base_spans(monkeypatch):
+    w = pii.train()
+    text = "call 10.0.0.1 (212) 555-1234 now"
+    assert pii.redact(text, pii.find(text, w)[1]) == "call <IP> <PHONE> now"
+    seen = []
+    monkeypatch.setattr(pii, "decode", lambda tokens, w: seen.append("".join(tokens)) or [])
+    for text, gap in (("10.0.0.1 555-123-4567", " 555-123-4567"), ("4012888888881881 / 212-555-1234", " / 212-555-1234"), ("212-555-1234 10.0.0.1", "212-555-1234 ")):
+        seen.clear()
+        pii.find(text, w)
+        assert seen == [gap]
+    text = ", " * 16 + "1-" * 20 + "1" + " ;" * 16
+    seen.clear()
+    pii.field_spans(text, [], w)
+    assert seen == [text]
