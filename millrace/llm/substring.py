@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lean, materialize
+from millrace.llm.common import lean, materialize, with_row_key
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -46,7 +46,7 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _rows(h: list[np.ndarray], doc: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(h: list[np.ndarray], row: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
     """A batch's places. What occurs twice in the batch needs no hash any more (null); a row at -1 stands for it elsewhere."""
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     value, number, count = np.unique(join(h, np.uint64).view(np.int64), return_inverse=True, return_counts=True)
@@ -54,13 +54,13 @@ def _rows(h: list[np.ndarray], doc: list[np.ndarray], at: list[np.ndarray]) -> p
     blank = np.zeros(len(more), np.int64)
     hashes = pa.array(np.concatenate([value[number], more]), mask=np.concatenate([count[number] > 1, blank > 0]))
     return pa.RecordBatch.from_arrays(
-        [hashes, pa.array(np.concatenate([join(doc, np.int64), blank])), pa.array(np.concatenate([join(at, np.int32), (blank - 1).astype(np.int32)]))],
-        ["h", "doc_id", "at"],
+        [hashes, pa.array(np.concatenate([join(row, np.int64), blank])), pa.array(np.concatenate([join(at, np.int32), (blank - 1).astype(np.int32)]))],
+        ["h", "row", "at"],
     )
 
 
 def repeated(places: DataFrame) -> DataFrame:
-    """Of (h, doc_id, at) the places whose h occurs more than once."""
+    """Of (h, row, at) the places whose h occurs more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last place, whose next neighbour isn't known yet
@@ -81,45 +81,46 @@ def repeated(places: DataFrame) -> DataFrame:
         if held is not None and before is not None and held.column(0)[0].as_py() == before:
             yield from held.select([1, 2]).to_batches()
 
-    key = F.coalesce("h", F.xxhash64("doc_id", "at"))
-    return places.repartition(key).sortWithinPartitions("h").mapInArrow(lean(run), "doc_id long, at int").where("at >= 0")
+    key = F.coalesce("h", F.xxhash64("row", "at"))
+    return places.repartition(key).sortWithinPartitions("h").mapInArrow(lean(run), "row long, at int").where("at >= 0")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept.
 
-    A word goes if a window over it occurs at any other place, judged on the input. Null texts have no words. ids
-    have to be distinct and not null; other columns are ignored; no rows give no rows.
+    A word goes if a window over it occurs at any other place, judged on the input. Null texts have no words. Places
+    are held by a key of the row, so ids may be null or repeated; other columns are ignored; no rows give no rows.
     """
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window has to be at least {PERIOD} words")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
+    texts = docs.select("row", "text")
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
                 if len(words) >= window:
                     h = window_hashes(words, anchor)
                     at = np.flatnonzero(np.resize(cover, len(h)))
-                    for column, x in zip(out, (h[at], np.full(len(at), doc, np.int64), at.astype(np.int32))):
+                    for column, x in zip(out, (h[at], np.full(len(at), row, np.int64), at.astype(np.int32))):
                         column.append(x)
             yield _rows(*out)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for row, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 h = window_hashes(words_of(text.as_py()), window)
                 near = np.zeros(len(h) + 1, np.int64)
                 at = places.values.to_numpy()
                 np.add.at(near, np.clip(at - (window - anchor), 0, len(h)), 1)
                 np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
                 at = np.flatnonzero(np.cumsum(near)[:-1])
-                for column, x in zip(out, (h[at], np.full(len(at), doc, np.int64), at.astype(np.int32))):
+                for column, x in zip(out, (h[at], np.full(len(at), row, np.int64), at.astype(np.int32))):
                     column.append(x)
             yield _rows(*out)
 
@@ -142,8 +143,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             columns = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    place = "h long, doc_id long, at int"
-    by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("at").alias("places"))  # noqa: E731  a document's own places
-    shared = materialize(by_doc(repeated(docs.mapInArrow(lean(anchors), place))), "anchors")
-    found = materialize(by_doc(repeated(docs.join(shared, "doc_id").mapInArrow(lean(windows), place))), "windows")
-    return docs.join(found, "doc_id", "left").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    place = "h long, row long, at int"
+    by_row = lambda df: df.groupBy("row").agg(F.collect_list("at").alias("places"))  # noqa: E731  a document's own places
+    shared = materialize(by_row(repeated(texts.mapInArrow(lean(anchors), place))), "anchors")
+    found = materialize(by_row(repeated(texts.join(shared, "row").mapInArrow(lean(windows), place))), "windows")
+    return docs.join(found, "row", "left").select("doc_id", "text", "places").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import minhash, pii
+from millrace.llm import minhash, pii, substring
 
 
 def test_minhash_order_of_short_texts(spark):
@@ -44,3 +44,12 @@ def test_pii_numbers_beside_base_spans(monkeypatch):
     seen.clear()
     pii.field_spans(text, [], w)
     assert seen == [text]
+
+
+def test_substring_null_and_shared_ids(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    shared = words("s", 40)
+    rows = [(None, words("a", 20) + " " + shared), (None, words("b", 90)), (3, shared + " " + words("c", 10)), (3, words("d", 60)), (3, "short"), (4, words("e", 50)), (4, words("e", 50)), (None, None)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, 60, 40, words("a", 20)), (None, 90, 0, words("b", 90)), (3, 50, 40, words("c", 10)), (3, 60, 0, words("d", 60)), (3, 1, 0, "short"), (4, 50, 50, ""), (4, 50, 50, ""), (None, 0, 0, "")]
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got], key=repr) == sorted(want, key=repr)
