@@ -33,10 +33,10 @@ def delete_ranges(log: DataFrame, deletions: DataFrame) -> DataFrame:
 
 
 def live_entries(log: DataFrame) -> DataFrame:
-    """Per key the entries that count: from its newest SET or deletion on, without the deletion."""
+    """Per key the entries that count: from its newest SET or deletion on, without the deletion; SETWITHDEL reads like SET."""
     w = Window.partitionBy("key")
     bar = F.max(F.when(F.col("kind") != "MERGE", F.col("seq"))).over(w)
-    return log.withColumn("_bar", F.coalesce(bar, F.lit(-1))).where("seq >= _bar and kind in ('SET', 'MERGE')").drop("_bar")
+    return log.withColumn("_bar", F.coalesce(bar, F.lit(-1))).where("seq >= _bar and kind in ('SET', 'SETWITHDEL', 'MERGE')").drop("_bar")
 
 
 def resolve(log: DataFrame, deletions: DataFrame | None = None, snapshot: int | None = None) -> DataFrame:
