@@ -76,13 +76,9 @@ class Index:
         self.base = [(tuple(p.encode().split()), label) for p, label in BASE.items()]
 
     def weigh(self, documents: int, frequency: dict[bytes, int]) -> Index:
-        """Idf per word; each template is found by its two rarest words, whichever files hold them."""
+        """Idf per word, and the sum over each template."""
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1e-9 for w in self.postings}
-        self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words, _) in enumerate(self.templates):
-            for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:2]:
-                self.anchors[w] += [p for p in self.postings[w] if p[0] == k]
-        self.anchors = dict(self.anchors)
+        self.whole = [sum(self.idf[w] for w in template) for _, template, _ in self.templates]
         return self
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -98,15 +94,25 @@ class Index:
                 starts += found
                 base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        # the file's rarest licence words, weighed over the corpus, cast the votes
-        rarest = sorted((w for w in hits if w in self.anchors), key=lambda w: (-self.idf[w], w))
-        votes = Counter((k, at - place) for w in rarest[: self.rare] for at in hits[w] for k, place in self.anchors[w])
-        for (k, offset), _ in votes.items():
+        # the file's rarest licence words, weighed over the corpus, cast the votes; the weight of an offset and of the
+        # words left out bounds what it can reach
+        rarest = sorted(hits, key=lambda w: (-self.idf[w], w))
+        left_out = frozenset(rarest[self.rare :])
+        votes: dict[tuple[int, int], float] = defaultdict(float)
+        for w in rarest[: self.rare]:
+            weight = self.idf[w]
+            for k, place in self.postings[w]:
+                for at in hits[w]:
+                    votes[k, at - place] += weight
+        needs = [self.least * (1 - 1e-9) * whole - (sum(self.idf[w] for w in template if w in left_out) if left_out else 0.0) for whole, (_, template, _) in zip(self.whole, self.templates)]
+        for (k, offset), reached in votes.items():
+            if reached < needs[k]:
+                continue
             label, template, mandatory = self.templates[k]
             region = words[max(0, offset) : max(0, offset) + len(template)]
             lead = max(0, -offset)
             same = sum(self.idf[w] for w, x in zip(template[lead:], region) if w == x)
-            part = same / sum(self.idf[w] for w in template)
+            part = same / self.whole[k]
             if part >= self.least and all(m in b" ".join(region) for m in mandatory):
                 labels.add(label)
                 score = max(score, min(1.0, part))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import minhash, pii, substring
+from millrace.llm import license_scan, minhash, pii, substring
 
 
 def test_minhash_order_of_short_texts(spark):
@@ -53,3 +53,14 @@ def test_substring_null_and_shared_ids(spark):
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [(None, 60, 40, words("a", 20)), (None, 90, 0, words("b", 90)), (3, 50, 40, words("c", 10)), (3, 60, 0, words("d", 60)), (3, 1, 0, "short"), (4, 50, 50, ""), (4, 50, 50, ""), (None, 0, 0, "")]
     assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got], key=repr) == sorted(want, key=repr)
+
+
+def test_license_without_its_rarest_words():
+    index = license_scan.Index()
+    label, template, mandatory = max(index.templates, key=lambda t: len(t[1]))
+    held = {w for m in mandatory for w in m.split()}
+    pair = [w for w in template if w not in held and template.count(w) == 1][:2]
+    index.weigh(1000, {w: 1 for w in index.postings if w not in pair})
+    text = b" ".join(b"other" if w in pair else w for w in template).decode()
+    for index.rare in (64, 5):
+        assert label in index.scan("so " + text + " end")[5].split(",")
