@@ -2,9 +2,9 @@
 
 A document is its set of distinct word shingles. Documents of equal sets collapse first, so groups of exact
 copies cost one row. Each permutation gives two signature values, its minimum and its maximum over the set;
-bands of values propose pairs. Within a band's bucket every member is held against the bucket's smallest id,
-then, where a bucket still spans several components, one member of each component against the others'; links
-are confirmed on the full sets. No step emits all pairs of a bucket whose members are linked already.
+bands of values propose pairs. Within a band's bucket every member is held against the bucket's smallest row;
+where a bucket still spans several components, all its members are compared in blocks. Links are confirmed on the
+full sets, buckets of every size alike. No step emits pairs that aren't linked, or all pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -13,19 +13,20 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, gapless_rank, lean, materialize
+from millrace.llm.common import components, discard, join_hot, lean, least_ids, materialize, sorted_groups, with_row_key
 
 #: A-Z to lower case and white space to blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: 32 bands of 4 values: a pair of similarity 0.75 shares none with a probability below 6e-6.
 PERMUTATIONS, ROWS = 64, 4
-#: Buckets of at most FEW rows give their pairs by a join, larger ones are compared in blocks.
-FEW, BLOCK, BLOCK_SHINGLES = 48, 1024, 1 << 20
+#: A block of an open bucket aims at so many rows and shingles at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Pairs of one left side that a task confirms at a time, about.
+STAR = 100_000
 _rng = np.random.default_rng(29)
 _ODD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = [int(x) * 2 + 1 for x in _rng.integers(0, 2**62, 8)]
@@ -80,127 +81,119 @@ def _signed(found: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, the band keys, and a byte of each signature value."""
+    """(row, doc_id, text) to row, doc_id, size of the set, two digests of it and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, keys, low = [], [], [], [], []
-            for text in batch.column(1):
+            n, d1, d2, keys = [], [], [], []
+            for text in batch.column(2):
                 found = shingles(text.as_py(), width)
                 n.append(len(found))
                 d1.append(_signed(found))
                 d2.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(_BASE[4]))).view(np.int64)) if len(found) else 0)
-                sig = signature(found) if len(found) else np.zeros(0, np.uint64)
-                keys.append(band_keys(sig) if len(found) else np.zeros(0, np.int64))
-                low.append(mix(sig).astype(np.uint8).tobytes())
+                keys.append(band_keys(signature(found)) if len(found) else np.zeros(0, np.int64))
             columns = [pa.array(x, pa.int64()) for x in (n, d1, d2)]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists, pa.array(low, pa.binary())], ["doc_id", "n", "d1", "d2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, lists], ["row", "doc_id", "n", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), "row long, doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(rep, text) to (rep, set): the full set as the bytes of its sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
+
+    return docs.select("rep", "text").mapInArrow(lean(run), "rep long, set binary")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. A frequent a is copied once per salt, of which there are
+    more the more rows there are, so no task gets all its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, shingles(None, width))
         for batch in batches:
             a, b = [], []
             for x, y, s, t in zip(*(batch.column(i) for i in range(4))):
-                if s.as_py() != last[0]:
-                    last = s.as_py(), shingles(s.as_py(), width)
-                left, right = last[1], shingles(t.as_py(), width)
+                left, right = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * both >= percent * (len(left) + len(right) - both) and both:
                     a.append(x.as_py())
                     b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
-
-
-def least_agreement(percent: int) -> float:
-    """Equal signature bytes that a pair at the threshold has but for a probability under 1e-5."""
-    p = percent / 100
-    return 2 * PERMUTATIONS * p - 4.5 * (2 * PERMUTATIONS * p * (1 - p)) ** 0.5
-
-
-def likely(near: DataFrame, percent: int) -> DataFrame:
-    """Of pairs with their signature bytes, those that may reach the threshold."""
-    least = least_agreement(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                kept = pa.array((p == q).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
-
-    return near.select("xrep", "yrep", "xsig", "ysig").mapInArrow(lean(run), "a long, b long")
-
-
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text) to (rep, set): the full set as the bytes of its sorted hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "set"])
-
-    return docs.mapInArrow(lean(run), "rep long, set binary")
-
-
-def block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of two blocks of a large bucket, links on full sets that span what the blocks join of different components."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+    salts = max(64, -(-total // STAR))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a")
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
+    return pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
+
+
+def block_links(percent: int) -> Callable[[pa.Table], pa.Table | None]:
+    """Of two blocks of a bucket, links on full sets that span what the blocks join of different components."""
+
+    def run(t: pa.Table) -> pa.Table | None:
+        rep, label = t["rep"].to_numpy(), np.unique(t["c"].to_numpy(), return_inverse=True)[1]
+        first = {k: t[k][0].as_py() for k in ("cls_lo", "lo", "cls_hi", "hi")}
+        cls, mine = t["cls"].to_numpy(), t["mine"].to_numpy()
+        low = np.flatnonzero((cls == first["cls_lo"]) & (mine == first["lo"]))
+        high = np.flatnonzero((cls == first["cls_hi"]) & (mine == first["hi"]))
+        if not len(low) or not len(high) or len(rep) < 2:
+            return None
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["set"]]
         n = np.array([len(x) for x in sets])
         # shingles numbered within the two blocks
         known, number = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.concatenate([[0], np.cumsum(n)])
-        rep, label = pdf["rep"].to_numpy(), np.unique(pdf["c"].to_numpy(), return_inverse=True)[1]
-        low = (pdf["cls"] == pdf["cls_lo"]).to_numpy() & (pdf["mine"] == pdf["lo"]).to_numpy()
-        high = (pdf["cls"] == pdf["cls_hi"]).to_numpy() & (pdf["mine"] == pdf["hi"]).to_numpy()
-        right = np.flatnonzero(high)
-        numbers = np.concatenate([number[ends[j] : ends[j + 1]] for j in right])
-        starts = np.concatenate([[0], np.cumsum(n[right])[:-1]])
         mark, out = np.zeros(len(known), bool), []
-        for i in np.flatnonzero(low).tolist():
-            if (label[right] == label[i]).all():
+        held, numbers, starts = None, number, ends
+        for i in low.tolist():
+            open_ = high[(label[high] != label[i]) & (100 * np.minimum(n[high], n[i]) >= percent * np.maximum(n[high], n[i]))]
+            if not len(open_):
                 continue
-            mine = number[ends[i] : ends[i + 1]]
-            mark[mine] = True
+            if held is None or len(open_) != len(held) or (open_ != held).any():
+                held = open_
+                numbers = np.concatenate([number[ends[j] : ends[j + 1]] for j in held])
+                starts = np.concatenate([[0], np.cumsum(n[held])[:-1]])
+            own = number[ends[i] : ends[i + 1]]
+            mark[own] = True
             both = np.add.reduceat(mark[numbers], starts, dtype=np.int64)
-            mark[mine] = False
-            near = right[100 * both >= percent * (n[right] + n[i] - both)]
+            mark[own] = False
+            near = held[100 * both >= percent * (n[held] + n[i] - both)]
             while len(near := near[label[near] != label[i]]):
                 j = near[0]
                 out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
                 label[label == label[j]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())}) if out else None
 
     return run
 
 
-def large_buckets(many: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of different components in (band, rep, c, n), found in pairs of blocks by full sets.
+def open_links(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of different components in the buckets of (band, rep, c, n), found by full sets, however large a bucket is.
 
-    Sets that are similar enough differ in size by 100 / percent at most, so a bucket is cut into classes of
-    that ratio and a block meets those of its own and the next class only. A block holds at most BLOCK rows and
-    about BLOCK_SHINGLES shingles (or one row); a bucket of any size is compared whole.
+    A bucket that fits a block is one. Of a larger one, sets that are similar enough differ in size by 100 / percent
+    at most, so it is cut into classes of that ratio, and a block meets those of its own and the next class only.
+    Blocks are dealt by a hash of rep.
     """
     ratio = max(math.log(100 / percent) * 1.000001, 0.01)
-    many = materialize(many.select("band", "rep", "c", "n", F.floor(F.log("n") / ratio).cast("int").alias("cls")), "many")
+    many = materialize(many.select("band", "rep", "c", "n", F.floor(F.log("n") / ratio).cast("int").alias("cls")), "open")
+    sets = sets.join(many.select("rep").distinct(), "rep", "left_semi")
+    sizes = many.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"))
+    total, fits = many.count(), (F.col("rows") <= BLOCK) & (F.col("words") <= BLOCK_SHINGLES)
+    all_ = materialize(join_hot(many, sizes, ["band"], "rows", total).withColumn("fits", fits).drop("rows", "words"), "sized")
+    zero = F.lit(0).cast("long")
+    whole = all_.where("fits").select("band", "rep", "c", F.lit(0).alias("cls"), zero.alias("mine"), F.lit(0).alias("cls_lo"), zero.alias("lo"), F.lit(0).alias("cls_hi"), zero.alias("hi"))
+    large = all_.where("not fits").drop("fits")
     per = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_SHINGLES / F.exp((F.col("cls") + 1) * ratio))))
-    ranked = gapless_rank(many, ["band", "cls"], ["rep"], 16, "r").withColumn("mine", F.floor(F.col("r") / per)).drop("r")
-    blocks = many.groupBy("band", "cls").agg(F.ceil(F.count(F.lit(1)) / per).alias("blocks"))
+    blocks = large.groupBy("band", "cls").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / per))
     up, down = (blocks.select("band", (F.col("cls") + k).alias("cls"), F.col("blocks").alias(name)) for k, name in ((-1, "up"), (1, "down")))
-    dealt = ranked.join(blocks, ["band", "cls"]).join(up, ["band", "cls"], "left").join(down, ["band", "cls"], "left")
-    each = lambda size, f: F.when(F.col(size) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(size) - 1), f)).otherwise(F.array().cast("array<struct<cls_lo:int,lo:bigint,cls_hi:int,hi:bigint>>"))
+    blocks = blocks.join(up, ["band", "cls"], "left").join(down, ["band", "cls"], "left")
+    spread = join_hot(large, blocks, ["band", "cls"], "size", total).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    each = lambda size, f: F.when(F.col(size) > 0, F.transform(F.sequence(zero, F.col(size) - 1), f)).otherwise(F.array().cast("array<struct<cls_lo:int,lo:bigint,cls_hi:int,hi:bigint>>"))
     meets = lambda c, x, d, y: F.struct(c.cast("int").alias("cls_lo"), x.alias("lo"), d.cast("int").alias("cls_hi"), y.alias("hi"))
     cls, mine = F.col("cls"), F.col("mine")
     met = F.concat(
@@ -208,48 +201,49 @@ def large_buckets(many: DataFrame, docs: DataFrame, width: int, percent: int) ->
         each("up", lambda j: meets(cls, mine, cls + 1, j)),
         each("down", lambda j: meets(cls - 1, j, cls, mine)),
     )
-    dealt = dealt.select("band", "rep", "c", "cls", "mine", F.explode(met).alias("met")).select("band", "rep", "c", "cls", "mine", "met.*")
-    sets = set_rows(docs.join(many.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
-    return dealt.join(sets, "rep").groupBy("band", "cls_lo", "lo", "cls_hi", "hi").applyInPandas(block_links(percent), "a long, b long")
+    spread = spread.select("band", "rep", "c", "cls", "mine", F.explode(met).alias("met")).select("band", "rep", "c", "cls", "mine", "met.*")
+    rows = whole.unionByName(spread).join(sets, "rep")
+    return sorted_groups(rows, ["band", "cls_lo", "lo", "cls_hi", "hi"], block_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * |A and B| >= percent * |A or B|. Null texts and those without words have an
-    empty set and link with nothing. ids have to be distinct and not null. Other columns are ignored; no rows
-    give no rows.
+    empty set and link with nothing. Rows are told apart by a key of their own: rows of equal ids are documents of
+    their own, and component_id is the least id among a component's rows, null if it has none; kept says whether a
+    row's id is that id. Other columns are ignored; no rows give no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return near_rows(with_row_key(rows, "row"), width, percent)
+
+
+def near_rows(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """near_duplicates of (row, doc_id, text) whose rows have distinct keys already; `row` comes too."""
+    names = ["d1", "d2", "n"]
     found = materialize(sketch(docs, width), "sketch")
-    sets = found.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(
-        found.select("doc_id", "n", "d1", "d2", "bands").where("n > 0").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")),
-        "bands",
-    )
+    total = found.count()
+    sets = found.where("n > 0").groupBy(*names).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    sets = materialize(sets, "sets")
+    reps = materialize(found.select(F.col("row").alias("rep"), "bands").join(sets.select("rep", "n"), "rep").select("rep", "n", F.explode("bands").alias("band")), "bands")
     shared = reps.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1")
-    buckets = materialize(reps.join(shared.select("band", "first"), "band"), "buckets")
+    buckets = materialize(join_hot(reps, shared, ["band"], "c", reps.count()).drop("c"), "buckets")
+    discard(reps)
+    texts = docs.select(F.col("row").alias("rep"), "text").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    full = materialize(set_rows(texts, width), "full")
     pairs = buckets.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(confirm(pairs, docs, width, percent), "links")
+    links = materialize(confirm(pairs, full, percent, total), "links")
     ends = components(links)
-    within = buckets.join(ends.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    open_bands = within.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-    left = within.join(open_bands.select("band"), "band")
-    # what shares a bucket but no component is held together; pairs that the signatures rule out aren't emitted
-    facts = found.select(F.col("doc_id").alias("rep"), "n", "sig")
-    left = materialize(left.select("band", "rep", "c").join(facts, "rep"), "open")
-    sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("rows"))
-    left = left.join(sizes, "band")
-    few = left.where(F.col("rows") <= FEW)
-    x, y = (few.select("band", *[F.col(c).alias(k + c) for c in ("rep", "c", "n", "sig")]) for k in "xy")
-    near = x.join(y, "band").where(f"xc != yc and xrep < yrep and 100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
-    more = likely(near, percent).distinct().join(pairs, ["a", "b"], "left_anti")
-    new = confirm(more, docs, width, percent).union(large_buckets(left.where(F.col("rows") > FEW), docs, width, percent))
-    new = materialize(new, "links")
+    within = materialize(buckets.join(ends.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep")), "within")
+    discard(buckets)
+    spans = within.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("band", "size")
+    left = join_hot(within, spans, ["band"], "size", within.count())
+    new = materialize(open_links(left, full, percent), "links")
+    discard(within, full)
     if not new.isEmpty():
         ends = components(links.union(new))
-    named = sets.join(ends.select(F.col("id").alias("rep"), F.col("component_id").alias("c")), "rep", "left").select("d1", "d2", F.col("n").alias("_n"), F.coalesce("c", "rep").alias("c"))
-    on = (found.d1 == named.d1) & (found.d2 == named.d2) & (found.n == F.col("_n")) & (found.n > 0)
-    return found.join(named, on, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.col("c") == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    named = sets.join(least_ids(ends, sets).withColumnRenamed("id", "rep"), "rep", "left")
+    named = materialize(named.select(*names, "size", F.when(F.col("least_id").isNull(), F.col("least")).otherwise(F.col("least_id")).alias("c")), "named")
+    some = join_hot(found.where("n > 0").select("row", "doc_id", *names), named, names, "size", total).select("row", "doc_id", "n", "c")
+    out = some.union(found.where("n = 0").select("row", "doc_id", "n", "doc_id"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("c").eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -47,7 +47,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import minhash
 
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontam, embed_dedup, langid, license_scan, minhash, packing, pii, shard, substring
 
-P = pytest.importorskip("public_tokenizers")
-TOKENS = P.path("word_bpe_49k.json")
 #: Names that the operators use inside.
 CLASH = ("h", "at", "n", "sig", "rep", "band", "bands", "c", "places", "length", "piece", "size", "shard", "slot", "label", "kept", "item_id", "score", "_p", "_h", "_r", "_b", "a", "b")
 LONG = "word " * 40_000
@@ -40,6 +38,7 @@ def test_a_row_per_row(spark, name):
 
 
 def test_packing_keeps_every_row(spark):
+    TOKENS = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     df = documents(spark)
     rows = packing.pack(wide(df), TOKENS).collect()
     assert sum(r["piece"] == 0 for r in rows) == df.count()
@@ -49,13 +48,17 @@ def test_packing_keeps_every_row(spark):
 
 
 def test_groups(spark):
-    df = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    df = documents(spark)
     for find in (minhash.near_duplicates, substring.remove_repeats):
         plain, clashing = find(df).collect(), find(wide(df)).collect()
         assert sorted(map(repr, plain)) == sorted(map(repr, clashing)) and len(plain) == df.count()
         assert find(wide(df).limit(0)).count() == 0
     gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).collect()}
-    assert gone == {1: (6, 0), 2: (0, 0), 3: (0, 0), 4: (40_000, 40_000), 5: (1, 0)}
+    assert gone == {1: (6, 0), 2: (0, 0), 3: (0, 0), None: (3, 0), 4: (40_000, 40_000), 5: (1, 0)}
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (None, "g h i j k l"), (None, "m n o p q r"), (5, "m n o p q r"), (6, "m n o p q r"), (None, "only"), (7, None), (7, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, 1, True), (1, 1, True), (None, 1, False), (None, 5, False), (5, 5, True), (6, 5, False), (None, None, True), (7, 7, True), (7, 7, True)]
+    assert sorted([(r["doc_id"], r["component_id"], r["kept"]) for r in got], key=repr) == sorted(want, key=repr)
 
 
 def test_leaks(spark):

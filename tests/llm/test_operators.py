@@ -7,10 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontam, embed_dedup, langid, license_scan, minhash, packing, pii, shard, substring
 
-P = pytest.importorskip("public_tokenizers")
 DOC = "doc_id long, text string, lang string, source string"
 R = random.Random(8)
 WORDS = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 7))) for _ in range(400)]
@@ -51,7 +51,6 @@ def test_minhash(spark):
 
 def test_minhash_large_buckets(spark, monkeypatch):
     """Chains of near copies beside documents that share most of a passage, in blocks of three rows."""
-    monkeypatch.setattr(minhash, "FEW", 2)
     monkeypatch.setattr(minhash, "BLOCK", 3)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
     shared, texts = prose(200), []
@@ -71,7 +70,8 @@ def test_minhash_large_buckets(spark, monkeypatch):
 
     # the block path alone: every document of its own component, in one bucket
     many = spark.createDataFrame([(1, i, i, len(s)) for i, s in enumerate(sets)], "band long, rep long, c long, n long")
-    links = {(r.a, r.b) for r in minhash.large_buckets(many, df.select("doc_id", "text"), 5, 75).collect()}
+    full = minhash.set_rows(df.select(F.col("doc_id").alias("rep"), "text"), 5)
+    links = {(r.a, r.b) for r in minhash.open_links(many, full, 75).collect()}
     found = list(range(len(texts)))
     for a, b in links:
         assert 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
@@ -115,6 +115,41 @@ def test_embeddings(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(100, 105))
 
 
+def test_embedding_codes():
+    """The estimate is unbiased, no planted pair is lost by the bound, and few pairs are computed again."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(400, 64))
+    v = embed_dedup.unit(np.concatenate([base, base + r.normal(size=base.shape) * 0.15]))
+    turns = embed_dedup.rotations(64, 2)
+    _, code, factor, coordinates, step = embed_dedup.encode(v, turns, 8, 16)
+    every = np.arange(len(v))
+    signs = np.unpackbits(code, axis=1).astype(float) * 2 - 1
+    error = signs @ (coordinates * step[:, None]).T / 8 / factor[:, None] - v @ v.T
+    assert abs(error[~np.eye(len(v), dtype=bool)].mean()) < 2e-3
+    i, j = embed_dedup.open_pairs(code, factor, coordinates, step, every, every, 0.98)
+    want = {(int(a), int(b)) for a, b in np.argwhere(v @ v.T >= 0.98)}
+    assert len(want) > 1000 and want <= set(zip(i.tolist(), j.tolist()))
+    assert len(i) < 0.01 * len(v) ** 2
+
+
+def test_embeddings_in_blocks(spark, monkeypatch):
+    """A dense group in blocks of a few rows, with null and repeated ids, against brute force."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 7)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(3, 16))
+    v = np.float32(np.concatenate([base[k] + r.normal(size=(25, 16)) * 0.12 for k in range(3)] + [base[:1]] * 30))
+    ids = [None if k % 11 == 3 else k // 2 for k in range(len(v))]
+    df = spark.createDataFrame([(i, [float(x) for x in e], "x") for i, e in zip(ids, v)], "vec_id long, embedding array<float>, label string")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect())
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.98) & ~np.eye(len(v), dtype=bool)
+    group = list(range(len(v)))
+    for a, b in np.argwhere(hit):
+        group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    least = {g: min([i for i, h in zip(ids, group) if h == g and i is not None], default=None) for g in group}
+    assert got == Counter((i, int(n), least[g]) for i, n, g in zip(ids, hit.sum(axis=1), group))
+
+
 def test_license():
     i = license_scan.Index().weigh(10, {b"the": 9})
     got = i.scan("Released UNDER the MIT License. Licensed under CC BY-NC 4.0.")
@@ -132,7 +167,7 @@ def test_license_table(spark):
 
 def test_tokens_and_packing(spark):
     df, texts = documents(spark)
-    path = P.path("word_bpe_49k.json")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     t = packing.tokenizer(path)
     more = ["don't I'LL x's", "œuvre “q”", "İ <|endoftext|> a", "a\x1cb", "½ ² 12", "é"]
     for x in [t_ or "" for t_ in texts] + more:
