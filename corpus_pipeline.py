@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, minhash, packing, pii
-from millrace.llm.common import free_name, materialize, with_row_key
+from millrace.llm.common import discard, free_name, join_hot, materialize, scratch, with_row_key
 
 #: A document's language has to be this sure; an even guess between four languages is 0.25.
 LEAST_SCORE = 0.34
@@ -24,11 +24,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     key = free_name(docs, "_row")
     rows = with_row_key(docs, key)
-    found = minhash.near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
+    found = minhash.near_rows(rows.select(F.col(key).alias("row"), F.col(key).alias("doc_id"), "text")).select("row", "component_id")
     ids = rows.select(F.col(key).alias("row"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     grouped = materialize(found.join(ids, "row"), "groups")
     first = grouped.groupBy("component_id").agg(F.min(F.struct("unnamed", "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("size"))
-    gone = grouped.join(first.where("size > 1"), "component_id").where("row != first.row").select(F.col("row").alias(key))
+    gone = join_hot(grouped, first.where("size > 1"), ["component_id"], "size", grouped.count()).where("row != first.row").select(F.col("row").alias(key))
     return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
@@ -67,7 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; what a stage wrote goes once the next has read it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
