@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -250,17 +251,62 @@ def test_hypergeometric_beyond_numpy():
     assert [sum(row) for row in m] == [5, 0, 9] and [sum(c) for c in zip(*m)] == [5, 5, 4]
 
 
+def nearest(item, text):
+    """Edits of the part of text nearest to item, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
 def test_decontam(spark):
     items = [(1, prose(30)), (2, prose(40)), (3, "short"), (4, None)]
     changed = list(items[1][1])
     changed[20], changed[60] = "#", "#"
-    texts = [prose(50), prose(20) + " " + items[0][1].upper() + " " + prose(9), prose(30) + " " + "".join(changed) + prose(10), None, "", "a short one"]
+    texts = [prose(50), prose(20) + " " + items[0][1].upper() + " " + prose(9), prose(30) + " " + "".join(changed) + prose(10), None, "", "a short one", "shorter"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(1, 1, 0), (2, 2, 2), (5, 3, 0)}
     assert decontam.find_leaks(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontam_against_every_distance():
+    """Items of all sizes, edited by up to two more than their budget, in Latin and Cyrillic letters."""
+    r = random.Random(31)
+    for alphabet in ("abc de", "\u0431\u0432\u0433 \u0434\u0436"):
+        items = [decontam.fold("".join(r.choice(alphabet) for _ in range(n))) for n in [15, 16, 18, 22, 28, 29, 30, 44, 60, 75, 90] * 4]
+        items = [t for t in items if len(t) >= 15]
+        index = decontam.Items(list(enumerate(items)))
+        hits = 0
+        for item in items:
+            part = list(item)
+            for _ in range(r.randint(0, decontam.budget(len(item)) + 2)):
+                at = r.randrange(len(part))
+                part[at : at + 1] = r.choice([[], [r.choice("xyz")], [part[at], "q"]])
+            text = decontam.fold("".join(r.choice(alphabet) for _ in range(80)) + "".join(part) + "".join(r.choice(alphabet) for _ in range(60)))
+            got = {k: (e, a, b) for k, e, a, b in index.search(text)}
+            want = {k: d for k, t in enumerate(items) if (d := nearest(t, text)) <= decontam.budget(len(t))}
+            assert {k: v[0] for k, v in got.items()} == want
+            for k, (e, a, b) in got.items():
+                assert nearest(items[k], text[a:b]) == e
+            hits += len(got)
+        assert hits > 20
+
+
+def test_decontam_repeated_phrase():
+    """A text that repeats what many items hold."""
+    r = random.Random(5)
+    phrase = "the quick brown fox jumps over "
+    items = [phrase + "".join(r.choice("abcdefgh ") for _ in range(90)) for _ in range(500)]
+    began = time.time()
+    index = decontam.Items(list(enumerate(items)))
+    assert index.search(phrase * 100) == [] and len(index.search(phrase * 100 + items[7])) == 1
+    assert time.time() - began < 10
+
+
 def test_langid():
     def text(vocabulary, seed):
         r = random.Random(seed)
