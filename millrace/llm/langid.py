@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained here in numpy.
 
 Texts are cut into windows of WINDOW bytes that run side by side, so a step of the recurrence is one small matrix
-product over thousands of windows. Every byte gets a distribution over the languages; a document's is the mean over
-the bytes of its letters. Gates use x / (1 + |x|) in place of the logistic, which bounds them alike at a lower cost.
+product over thousands of windows. Each window is read with CONTEXT bytes of its neighbours on both sides, so that
+the states of both directions are warm where its own bytes begin. Every byte gets a distribution over the languages;
+a document's is the mean over the bytes of its letters. Gates use x / (1 + |x|) in place of the logistic, which bounds them alike at a lower cost.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.llm.common import lean
+from millrace.llm.common import lean, spread
 
-WINDOW, HIDDEN = 64, 8
-#: Rows that training takes at most, and the bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1200, 512
+WINDOW, CONTEXT, HIDDEN = 96, 16, 8
+#: Labelled rows of each language that training takes at most, and the windows drawn from all over each of them.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 4
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -102,21 +104,33 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.nd
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(WINDOW, n) bytes and the text of each window; the ends are filled with zero bytes."""
-    sizes = [-(-len(t) // WINDOW) for t in texts]
-    flat = np.frombuffer(b"".join(t.ljust(n * WINDOW, b"\0") for t, n in zip(texts, sizes)), np.uint8)
-    return np.ascontiguousarray(flat.reshape(-1, WINDOW).T), np.repeat(np.arange(len(texts)), sizes)
+    """(CONTEXT + WINDOW + CONTEXT, n) bytes and the text of each window; zero bytes stand beyond a text's ends."""
+    sizes = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+    edge = bytes(CONTEXT)
+    flat = np.frombuffer(b"".join(edge + t.ljust(n * WINDOW, b"\0") + edge for t, n in zip(texts, sizes.tolist())), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    begin = np.cumsum(sizes * WINDOW + 2 * CONTEXT) - (sizes * WINDOW + 2 * CONTEXT)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = begin[owner] + inside * WINDOW
+    return flat[np.arange(WINDOW + 2 * CONTEXT)[:, None] + at[None, :]] if len(at) else np.zeros((WINDOW + 2 * CONTEXT, 0), np.uint8), owner
 
 
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)], np.float32)
 
 
-def fit(samples: list[tuple[str, str]], epochs: int = 12, rate: float = 0.02, seed: int = 3) -> tuple[list[str], dict[str, np.ndarray]]:
+def own_bytes(use: np.ndarray) -> np.ndarray:
+    """Weights of a window's bytes without those of its neighbours."""
+    use = use.copy()
+    use[:CONTEXT] = use[CONTEXT + WINDOW :] = 0
+    return use
+
+
+def fit(samples: list[tuple[str, str]], epochs: int = 10, rate: float = 0.02, seed: int = 3) -> tuple[list[str], dict[str, np.ndarray]]:
     """Languages and weights from (text, language), by Adam over mini-batches of windows."""
     langs = sorted({lang for _, lang in samples})
-    x, owner = windows([t.encode("utf-8", "replace")[:SAMPLE_BYTES] for t, _ in samples])
+    x, owner = windows([t.encode("utf-8", "replace") for t, _ in samples])
     y = np.array([langs.index(lang) for _, lang in samples])[owner]
-    use, w, r = LETTER[x], init(len(langs), seed), np.random.default_rng(seed)
+    use, w, r = own_bytes(LETTER[x]), init(len(langs), seed), np.random.default_rng(seed)
     share = np.bincount(y, minlength=len(langs)) / len(y)
     use = use * (1 / (len(langs) * np.maximum(share, 1e-6)))[y].astype(np.float32) ** 0.5
     m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
@@ -138,7 +152,7 @@ def predict(langs: list[str], w: dict[str, np.ndarray], texts: list[str | None],
     x, owner = windows(raw)
     for at in range(0, len(owner), most):
         part, who = x[:, at : at + most], owner[at : at + most]
-        use = LETTER[part]
+        use = own_bytes(LETTER[part])
         p = np.einsum("tlb,tb->bl", probabilities(w, part), use)
         for k in range(len(langs)):
             total[:, k] += np.bincount(who, p[:, k], len(texts))
@@ -154,20 +168,21 @@ def predict(langs: list[str], w: dict[str, np.ndarray], texts: list[str | None],
 
 
 def sample(docs: DataFrame, allowed: object, most: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most `most` labelled rows for training, those of the smallest hashes; their first bytes only.
+    """(text, language) of windows from at most `most` labelled rows of each language, those of the smallest hashes.
 
-    A cut by hash leaves about four times as many rows before the sort, so tasks send few rows to the driver
-    whatever their number; the cut widens until it holds enough or all.
+    The windows' places are drawn by hash over the whole text. A cut by hash per language leaves about four times as
+    many rows before the sort, so few rows move, whatever their number. A row per language reaches the driver.
     """
-    labelled = docs.where(allowed).where("lang is not null")
-    share = 4 * most / max(1, labelled.count())
-    rows = labelled.where("text is not null").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    while True:
-        part = rows if share >= 1 else rows.where(F.col("h") < int(share * 2**64) - 2**63)
-        found = [(r["text"], r["lang"]) for r in part.orderBy("h", "text").limit(most).collect()]
-        if len(found) == most or share >= 1:
-            return found
-        share *= 8
+    labelled = docs.where(allowed).where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    cut = F.when(F.col("n") <= 4 * most, F.lit(2**63 - 1)).otherwise(((4.0 * most / F.col("n") - 0.5) * 2.0**64).cast("long"))
+    cuts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("_lang"), cut.alias("cut"))
+    wide = WINDOW + 2 * CONTEXT
+    room = F.greatest(F.length("text") - wide, F.lit(0)) + 1
+    drawn = F.transform(F.array(*[F.lit(k) for k in range(SAMPLE_WINDOWS)]), lambda k: F.substring("text", (F.pmod(F.xxhash64("h", k), room) + 1).cast("int"), F.lit(wide)))
+    few = labelled.join(cuts, F.col("lang") == F.col("_lang")).where("h <= cut").select("lang", "h", F.array_distinct(drawn).alias("parts"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "parts"))
+    found = few.withColumn("r", first).where(F.col("r") <= most).select("lang", "h", F.explode("parts").alias("part")).orderBy("lang", "h", "part").collect()
+    return [(r["part"], r["lang"]) for r in found]
 
 
 def held_out() -> object:
@@ -203,7 +218,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | N
                     ["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -223,4 +238,4 @@ def with_language(docs: DataFrame, least: float, model: tuple[list[str], dict[st
                 found = judge(model, part.column(text).to_pylist())
                 yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return spread(docs).mapInArrow(lean(run), docs.schema)
