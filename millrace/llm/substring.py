@@ -3,7 +3,8 @@
 Anchors are short windows of words that start at places p with p mod 21 in a difference cover: for any two places
 there is a shift under 21 that takes both onto the cover, so two equal windows of 35 words share an anchor of 15.
 Only windows around anchors that occur more than once are then hashed whole, which extends a shared anchor to the
-exact question whether the window occurs elsewhere. Occurrences of one hash are sorted together and read as a
+question whether the window occurs elsewhere. Windows count as equal by 96 bits of two hashes over 128-bit hashes of
+their words: of 10^12 windows some two are taken for equal wrongly with a probability below 10^-5. Occurrences of one hash are sorted together and read as a
 stream of neighbours: no group is ever collected and no pairs are made.
 """
 
@@ -18,27 +19,31 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lean, materialize, with_row_key
+from millrace.llm.common import discard, lean, materialize, with_row_key
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-_B = 0x9E3779B97F4A7C15
+_B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def window_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """A 64-bit hash of the `width` words from each place."""
-    from xxhash import xxh3_64_intdigest
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """128 bits of each word, in two columns."""
+    from xxhash import xxh3_128_digest
 
-    n = len(words)
+    return np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+
+
+def window_hashes(h: np.ndarray, width: int, base: int = _B) -> np.ndarray:
+    """A 64-bit hash of the `width` words from each place, of one column of word hashes."""
+    n = len(h)
     if n < width:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
     power, inverse = (np.ones(n + 1, np.uint64) for _ in range(2))
-    power[1:], inverse[1:] = np.uint64(_B), np.uint64(pow(_B, -1, 2**64))
+    power[1:], inverse[1:] = np.uint64(base), np.uint64(pow(base, -1, 2**64))
     power, inverse = np.cumprod(power), np.cumprod(inverse)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(h * power[:n], out=total[1:])
@@ -46,43 +51,48 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _rows(h: list[np.ndarray], row: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(h: list[np.ndarray], g: list[np.ndarray], row: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
     """A batch's places. What occurs twice in the batch needs no hash any more (null); a row at -1 stands for it elsewhere."""
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    value, number, count = np.unique(join(h, np.uint64).view(np.int64), return_inverse=True, return_counts=True)
-    more = value[count > 1]
+    h, g, row, at = join(h, np.uint64).view(np.int64), join(g, np.int32), join(row, np.int64), join(at, np.int32)
+    order = np.lexsort((g, h))
+    h, g, row, at = h[order], g[order], row[order], at[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(h)))
+    more, known = start[count > 1], np.repeat(count > 1, count)
     blank = np.zeros(len(more), np.int64)
-    hashes = pa.array(np.concatenate([value[number], more]), mask=np.concatenate([count[number] > 1, blank > 0]))
+    hashes = pa.array(np.concatenate([h, h[more]]), mask=np.concatenate([known, blank > 0]))
     return pa.RecordBatch.from_arrays(
-        [hashes, pa.array(np.concatenate([join(row, np.int64), blank])), pa.array(np.concatenate([join(at, np.int32), (blank - 1).astype(np.int32)]))],
-        ["h", "row", "at"],
+        [hashes, pa.array(np.concatenate([g, g[more]])), pa.array(np.concatenate([row, blank])), pa.array(np.concatenate([at, (blank - 1).astype(np.int32)]))],
+        ["h", "g", "row", "at"],
     )
 
 
 def repeated(places: DataFrame) -> DataFrame:
-    """Of (h, row, at) the places whose h occurs more than once."""
+    """Of (h, g, row, at) the places whose h and g occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last place, whose next neighbour isn't known yet
-        before: int | None = None
+        follows = False  # whether it is like the one before it
         for batch in batches:
             sure = batch.column(0).is_null()
-            yield batch.filter(sure).select([1, 2])
+            yield batch.filter(sure).select([2, 3])
             t = pa.Table.from_batches([batch.filter(pa.compute.invert(sure))])
             t = pa.concat_tables([held, t]) if held is not None else t
             if not t.num_rows:
                 continue
-            h = t.column(0).to_numpy()
-            same = h[1:] == h[:-1]
-            back = np.concatenate([[before is not None and h[0] == before], same])
-            found = back[:-1] | same
-            yield from t.select([1, 2]).slice(0, len(h) - 1).filter(pa.array(found)).combine_chunks().to_batches()
-            held, before = t.slice(len(h) - 1), int(h[-2]) if len(h) > 1 else before
-        if held is not None and before is not None and held.column(0)[0].as_py() == before:
-            yield from held.select([1, 2]).to_batches()
+            h, g = t.column(0).to_numpy(), t.column(1).to_numpy()
+            same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+            back = np.concatenate([[follows], same])
+            yield from t.select([2, 3]).slice(0, len(h) - 1).filter(pa.array(back[:-1] | same)).combine_chunks().to_batches()
+            held, follows = t.slice(len(h) - 1), bool(back[-1])
+        if held is not None and follows:
+            yield from held.select([2, 3]).to_batches()
 
     key = F.coalesce("h", F.xxhash64("row", "at"))
-    return places.repartition(key).sortWithinPartitions("h").mapInArrow(lean(run), "row long, at int").where("at >= 0")
+    return places.repartition(key).sortWithinPartitions("h", "g").mapInArrow(lean(run), "row long, at int").where("at >= 0")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,27 +110,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
                 if len(words) >= window:
-                    h = window_hashes(words, anchor)
+                    h = window_hashes(word_hashes(words)[:, 0], anchor)
                     at = np.flatnonzero(np.resize(cover, len(h)))
-                    for column, x in zip(out, (h[at], np.full(len(at), row, np.int64), at.astype(np.int32))):
+                    for column, x in zip(out, (h[at], np.zeros(len(at), np.int32), np.full(len(at), row, np.int64), at.astype(np.int32))):
                         column.append(x)
             yield _rows(*out)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for row, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                h = window_hashes(words_of(text.as_py()), window)
+                words = word_hashes(words_of(text.as_py()))
+                h, g = window_hashes(words[:, 0], window), (window_hashes(words[:, 1], window, _C) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 near = np.zeros(len(h) + 1, np.int64)
                 at = places.values.to_numpy()
                 np.add.at(near, np.clip(at - (window - anchor), 0, len(h)), 1)
                 np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
                 at = np.flatnonzero(np.cumsum(near)[:-1])
-                for column, x in zip(out, (h[at], np.full(len(at), row, np.int64), at.astype(np.int32))):
+                for column, x in zip(out, (h[at], g[at], np.full(len(at), row, np.int64), at.astype(np.int32))):
                     column.append(x)
             yield _rows(*out)
 
@@ -143,8 +154,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             columns = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    place = "h long, row long, at int"
+    place = "h long, g int, row long, at int"
     by_row = lambda df: df.groupBy("row").agg(F.collect_list("at").alias("places"))  # noqa: E731  a document's own places
     shared = materialize(by_row(repeated(texts.mapInArrow(lean(anchors), place))), "anchors")
     found = materialize(by_row(repeated(texts.join(shared, "row").mapInArrow(lean(windows), place))), "windows")
+    discard(shared)
     return docs.join(found, "row", "left").select("doc_id", "text", "places").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
