@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import spread
+
 #: A-Z to lower case, other ASCII that isn't a digit or letter to a blank; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -134,7 +136,7 @@ def document_frequencies(docs: DataFrame, index: Index, text_col: str = "text")
         words = [*seen, b""]
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words]), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = spread(docs.select(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"].encode(): r["n"] for r in rows}  # one row per template word
     return found.pop(b"", 0), found
 
@@ -156,7 +158,7 @@ def scan_licenses(docs: DataFrame, index: Index | None = None, id_col: str = "do
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
         scan,
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double",

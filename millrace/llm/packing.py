@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import gapless_rank, lean, materialize
+from millrace.llm.common import gapless_rank, lean, materialize, spread
 
 #: Byte that ends a word in the merge table; it never occurs in UTF-8 text.
 WORD_END = b"\xff"
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, path: str, most: int, id_col: str = "doc_id",
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lean(cut), "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
@@ -188,7 +188,7 @@ def pack(
             offset += length * copies
         sequence += bins
     places = docs.sparkSession.createDataFrame(rows, "_length long, _from long, _to long, _copies long, _sequence long, _offset long")
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32", "start"], 32, "_rank")
+    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32", "start"], sum(counts.values()), "_rank")
     at = F.col("_rank") - F.col("_from")
     placed = ranked.join(
         F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
