@@ -2,7 +2,8 @@
 
 The field scores whole candidate segments (their digits, separators, check sums, ends and neighbours) and a dynamic
 program over segments of bounded length chooses boundaries and kinds together. It runs in windows around triggers
-that the base patterns left alone, and adds spans that overlap none of theirs. It is trained here, on generated
+that the base patterns left alone, and adds spans that overlap none of theirs: further spellings of the four base
+kinds, and secrets (keys, tokens and passwords where they are given as such). It is trained here, on generated
 sentences, by the likelihood of the right segmentation.
 """
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import lean, spread
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the field knows; the base patterns have no secrets.
+KINDS = (*BASE_KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
@@ -98,9 +101,13 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # The field
 
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|[^\w\s]|_")
-TRIGGER = re.compile(r"[0-9][0-9 ()./-]{5,40}[0-9]|[\[(] ?at ?[\])]|@")
-LONGEST, MARGIN = 14, 32
+#: Numbers, words, runs of letters and digits mixed, white space, marks.
+TOKEN = re.compile(r"[0-9]++(?![^\W_])|[^\W\d_]++(?![0-9])|[^\W_]++|\s++|[^\w\s]|_")
+TRIGGER = re.compile(r"[0-9][0-9 ()./-]{5,40}[0-9]|[\[(] ?at ?[\])]|@|(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12,}|(?i:pass(?:word|wd)|secret|pwd)\b")
+#: Tokens of a segment, characters read beside a trigger, tokens before a segment that may name it.
+LONGEST, MARGIN, NAMED = 14, 32, 6
+#: Words that a secret's name holds.
+NAMES = frozenset(["token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "access"])
 
 
 def features(tokens: list[str], i: int, j: int) -> list[float]:
@@ -113,6 +120,11 @@ def features(tokens: list[str], i: int, j: int) -> list[float]:
     before, after = (tokens[i - 1] if i else " "), (tokens[j] if j < len(tokens) else " ")
     letters = any(t.isalpha() for t in part)
     at = "@" in part or ("at" in part and bool({"[", "("} & set(part)))
+    solid = not any(t.isspace() for t in part) and text[0].isalnum() and text[-1].isalnum()
+    mixed = any(len(t) > 3 and t.isalnum() and not t.isdigit() and not t.isalpha() for t in part)
+    ahead = tokens[max(0, i - NAMED) : i]
+    named = any(t.lower() in NAMES for t in ahead)
+    given = named and any(t in "=:" for t in ahead[-4:])
     return [
         1.0,
         float(7 <= n <= 8),
@@ -134,25 +146,39 @@ def features(tokens: list[str], i: int, j: int) -> list[float]:
         float("." in part),
         float("/" in part),
         float(len(part) == 1),
+        float(given and solid),
+        float(given and solid and len(text) >= 8),
+        float(mixed),
+        float(mixed and named and len(text) >= 12),
+        float(mixed and not named),
+        float(before in "\"'" and after in "\"'"),
+        float(solid and text.isupper() and mixed and len(text) >= 16),
+        float(at and bool(SPELLED.fullmatch(text))),
+        float(n == 10 and bool(TEN.fullmatch(text))),
+        float(after == "." and j + 1 < len(tokens) and tokens[j + 1].isalpha()),
     ]
 
 
-N_FEATURES = 20
+N_FEATURES = 30
+#: Whole shapes: an address with its mark spelled out, and ten digits of a phone number.
+SPELLED = re.compile(r"[\w.%+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?: ?(?:\.|dot) ?[A-Za-z]+)+")
+TEN = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 
 
 def table(tokens: list[str]) -> np.ndarray:
-    """(start, length - 1, feature); segments that pass the end are all zero."""
+    """(start, length - 1, feature); all zero for what is no candidate: past the end, or white space at an end."""
     out = np.zeros((len(tokens), LONGEST, N_FEATURES))
+    blank = [t.isspace() for t in tokens]
     for i in range(len(tokens)):
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            out[i, j - i - 1] = features(tokens, i, j)
+        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1 if not blank[i] else 0):
+            if not blank[j - 1]:
+                out[i, j - i - 1] = features(tokens, i, j)
     return out
 
 
 def _scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     s = x @ w.T
-    n = len(x)
-    s[np.add.outer(np.arange(n), np.arange(LONGEST)) >= n] = -1e9
+    s[x[:, :, 0] == 0] = -1e9  # every candidate has the constant feature
     return s
 
 
@@ -167,6 +193,29 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
         sep = rng.choice([".", "/", " ", "-"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
+    def mixture(letters: str, n: int) -> str:
+        while True:
+            out = "".join(rng.choice(letters + "0123456789") for _ in range(n))
+            if not out.isalpha() and not out.isdigit():
+                return out
+
+    hexadecimal, letters = "abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def secret() -> str:
+        return rng.choice(
+            [
+                lambda: mixture(hexadecimal, rng.choice([24, 32, 40, 64])),
+                lambda: mixture(letters, rng.randint(14, 48)),
+                lambda: mixture(letters, rng.randint(8, 13)),
+                lambda: f"{mixture(letters, 8)}-{mixture(letters, 12)}",
+            ]
+        )()
+
+    def given() -> tuple[str, str, str]:
+        name = rng.choice(["token", "key", "api_key", "secret", "password", "passwd", "pwd", "access_token", "API key", "Auth token", "Password"])
+        sign, quote = rng.choice([" = ", "=", ": ", " : "]), rng.choice(['"', "'", "", ""])
+        return name + sign + quote, secret(), quote
+
     makers = [
         lambda: (0, f"{word()} {rng.choice(['[at]', '(at)'])} {word()}.{rng.choice(['com', 'org', 'net'])}"),
         lambda: (0, f"{word()}[at]{word()} dot com"),
@@ -175,11 +224,15 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
         lambda: (3, f"({num(3)}) {num(3)}-{num(4)}"),
         lambda: (3, f"{num(3)}-{num(3)}-{num(4)}"),
         lambda: (3, f"{num(3)}.{num(3)}.{num(4)}"),
-        lambda: (None, "password=" + "".join(rng.choice("0123456789abcdef") for _ in range(18))),
+        lambda: (4, given()),
+        lambda: (4, given()),
+        lambda: (4, ("", "AKIA" + mixture("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), "")),
+        lambda: (None, f"{rng.choice(['commit', 'revision', 'digest', 'id', 'see'])} {mixture(hexadecimal, rng.choice([12, 16, 32, 40]))}"),
+        lambda: (None, f"{rng.choice(['token', 'key', 'password', 'secret'])} {rng.choice([word(), num(2), ':', 'of ' + word()])}"),
+        lambda: (None, f"{rng.choice(['size', 'color', word()])} = {rng.choice([word(), num(3), mixture(hexadecimal, 12)])}"),
         lambda: (None, f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"),
         lambda: (None, num(rng.choice([6, 8, 12, 16, 20, 24]))),
         lambda: (None, f"{rng.randint(1, 20)}.{num(1)}.{num(2)}"),
-        lambda: (None, f"AKIA{num(4)}{word().upper()}{num(3)}"),
         lambda: (None, f"{word()} (at) the {word()}"),
         lambda: (None, f"{num(3)} {num(2)} {num(4)} {num(2)}"),
     ]
@@ -187,16 +240,20 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
     for _ in range(rng.randint(1, 2)):
         tokens += TOKEN.findall(" ".join(word() for _ in range(rng.randint(1, 4))) + " ")
         kind, text = rng.choice(makers)()
+        closing = ""
+        if isinstance(text, tuple):
+            opening, text, closing = text
+            tokens += TOKEN.findall(opening)
         part = TOKEN.findall(text)
         if kind is not None and len(part) <= LONGEST:
             gold.append((len(tokens), len(tokens) + len(part), kind))
-        tokens += part + TOKEN.findall(rng.choice([" ", ". ", ", ", " "]) + word())
+        tokens += part + TOKEN.findall(closing + rng.choice([" ", ". ", ", ", " "]) + word())
         tokens.append(" ")
     return tokens, gold
 
 
 @lru_cache(1)
-def train(sentences: int = 300, epochs: int = 12, seed: int = 5) -> np.ndarray:
+def train(sentences: int = 500, epochs: int = 12, seed: int = 5) -> np.ndarray:
     """Weights (kind, feature) by stochastic ascent of the segmentations' log-likelihood. Other tokens score 0."""
     rng = random.Random(seed)
     data = [(table(t), g) for t, g in (_sentence(rng) for _ in range(sentences))]
@@ -269,7 +326,7 @@ def field_spans(text: str, taken: list[Span], w: np.ndarray) -> dict[str, list[S
 
 def find(text: str | None, w: np.ndarray) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans, and base and added spans together, per kind."""
-    base = base_spans(text or "")
+    base = base_spans(text or "") | {"secret": []}
     more = field_spans(text or "", [s for k in KINDS for s in base[k]], w)
     return base, {k: sorted(base[k] + more[k]) for k in KINDS}
 
@@ -288,32 +345,33 @@ def redact(text: str, spans: dict[str, list[Span]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_<kind> of base spans, base_sha256, spans, redacted.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_<kind> of base spans, base_sha256, spans, n_spans (all), redacted.
 
-    Null texts are empty; repeated rows are rows of their own; null ids stay null; other columns are ignored;
+    Without `redacted` that column is null. Null texts are empty; repeated rows are rows of their own; null ids stay null; other columns are ignored;
     no rows give no rows. Offsets are code points, ends exclusive.
     """
     w = train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digest, spans, clean = [[] for _ in KINDS], [], [], []
+            counts, digest, spans, all_, clean = [[] for _ in BASE_KINDS], [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base, found = find(text, w)
-                for c, k in zip(counts, KINDS):
+                for c, k in zip(counts, BASE_KINDS):
                     c.append(len(base[k]))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(found))
-                clean.append(redact(text, found))
+                all_.append(sum(map(len, found.values())))
+                clean.append(redact(text, found) if redacted else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (digest, spans, clean))],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (digest, spans)), pa.array(all_, pa.int64()), pa.array(clean, pa.string())],
+                ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_spans", "redacted"],
             )
 
     rows = spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string"
     return rows.mapInArrow(lean(run), schema)
 
 

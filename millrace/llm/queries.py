@@ -53,7 +53,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import pii
 
-    return pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+    return pii.find_pii(table(spark, sf_dir, "documents"), redacted=False).drop("redacted")
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
