@@ -1,9 +1,12 @@
 """License scans by a positional index of rare template words.
 
-Each template is a short text that a licence's notice holds. Of a file's words, those with the highest inverse
-document frequency over the whole corpus look up the templates; every posting (template, place in template) at a
-word's place votes for the offset place - template place. Offsets with enough votes are compared word by word,
-and a label needs the template's mandatory phrases there too.
+Each template is a text that a licence or its notice holds. Of a file's licence words, those of the highest inverse
+document frequency over the whole corpus look up the templates: for each template its rarest words, just so many that
+what is left out can't reach the needed weight alone. Every posting (template, place in template) at a word's place
+votes for the offset place - template place. Postings are intersected by relative position: the votes of offsets that
+lie within GAP of each other have to reach the needed weight with all that is left out. Then the words of the template
+that stand there in order are weighed, up to GAP other words among them on either side of a looked-up one, and a label needs the template's mandatory
+phrases there too, word by word.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ from millrace.llm.common import spread
 #: A-Z to lower case, other ASCII that isn't a digit or letter to a blank; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Phrases that give a label by themselves.
+#: Words that may stand among those of a template on either side of a looked-up word, and the share of its weight that has to be there.
+GAP, LEAST = 8, 0.8
+
+#: Phrases that give a label by themselves.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
@@ -33,10 +39,15 @@ class Template:
     mandatory: tuple[str, ...]
 
 
+#: Sentences of public licence texts and notices, folded; each with the phrases that it can't lack.
 TEMPLATES = (
     Template("mit", "licensed under the mit license", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted", "without restriction")),
     Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall be included",)),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("the software is provided as is", "authors or copyright holders")),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
+    Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("provided by the copyright holders and contributors",)),
+    Template("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("the author disclaims all warranties",)),
     Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
     Template("apache-2", "released under the apache license version 2 0", ("apache license version 2",)),
     Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ("unless required by applicable law", "as is basis")),
@@ -65,28 +76,39 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Postings of the template words, and their weight by the corpus's document frequencies."""
+    """Postings of the templates' words, and their weight by the corpus's document frequencies."""
 
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.8, rare: int = 64) -> None:
-        self.templates = [(t.label, t.text.encode().split(), [m.encode() for m in t.mandatory]) for t in templates]
-        self.least, self.rare = least, rare
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words):
-                self.postings[w].append((k, at))
-        self.postings = dict(self.postings)
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, least: float = LEAST) -> None:
+        self.templates = [(t.label, t.text.encode().split(), [b" " + m.encode() + b" " for m in t.mandatory]) for t in templates]
+        self.least = least
         self.base = [(tuple(p.encode().split()), label) for p, label in BASE.items()]
+        self.words = frozenset(w for _, words, _ in self.templates for w in words)
+        self.vocabulary = self.words | {w for phrase, _ in self.base for w in phrase}
 
     def weigh(self, documents: int, frequency: dict[bytes, int]) -> Index:
-        """Idf per word, and the sum over each template."""
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1e-9 for w in self.postings}
+        """Idf per word, the sum over each template, and the postings of each template's rarest words."""
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1e-9 for w in self.words}
         self.whole = [sum(self.idf[w] for w in template) for _, template, _ in self.templates]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.left_out = []
+        for k, (_, template, _) in enumerate(self.templates):
+            rest = self.whole[k]
+            for w in sorted(set(template), key=lambda w: (-self.idf[w], w)):
+                if rest < self.needed(k):
+                    break
+                places = [at for at, x in enumerate(template) if x == w]
+                self.postings[w] += [(k, at) for at in places]
+                rest -= self.idf[w] * len(places)
+            self.left_out.append(max(0.0, rest))
         return self
 
+    def needed(self, k: int) -> float:
+        return self.least * (1 - 1e-9) * self.whole[k]
+
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
         hits: dict[bytes, list[int]] = {}
-        for at in [i for i, w in enumerate(words) if w in self.postings]:
+        for at in [i for i, w in enumerate(words) if w in self.vocabulary]:
             hits.setdefault(words[at], []).append(at)
         starts, base = [], set()
         for phrase, label in self.base:
@@ -96,35 +118,58 @@ class Index:
                 starts += found
                 base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        # the file's rarest licence words, weighed over the corpus, cast the votes; the weight of an offset and of the
-        # words left out bounds what it can reach
-        rarest = sorted(hits, key=lambda w: (-self.idf[w], w))
-        left_out = frozenset(rarest[self.rare :])
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rarest[: self.rare]:
-            weight = self.idf[w]
-            for k, place in self.postings[w]:
-                for at in hits[w]:
-                    votes[k, at - place] += weight
-        needs = [self.least * (1 - 1e-9) * whole - (sum(self.idf[w] for w in template if w in left_out) if left_out else 0.0) for whole, (_, template, _) in zip(self.whole, self.templates)]
-        for (k, offset), reached in votes.items():
-            if reached < needs[k]:
-                continue
-            label, template, mandatory = self.templates[k]
-            region = words[max(0, offset) : max(0, offset) + len(template)]
-            lead = max(0, -offset)
-            same = sum(self.idf[w] for w, x in zip(template[lead:], region) if w == x)
-            part = same / self.whole[k]
-            if part >= self.least and all(m in b" ".join(region) for m in mandatory):
-                labels.add(label)
+        votes: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for w in hits:
+            for k, place in self.postings.get(w, ()):
+                votes[k] += [(at - place, self.idf[w]) for at in hits[w]]
+        for k, cast in votes.items():
+            part = self.best(k, sorted(cast), words)
+            if part:
+                labels.add(self.templates[k][0])
                 score = max(score, min(1.0, part))
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
+    def best(self, k: int, cast: list[tuple[int, float]], words: list[bytes]) -> float:
+        """The largest share of template k that stands in order at an offset with its phrases there; 0 for too little."""
+        _, template, mandatory = self.templates[k]
+        best, begin, reached, seen = 0.0, 0, 0.0, None
+        for end, (offset, weight) in enumerate(cast):
+            reached += weight
+            while cast[begin][0] < offset - GAP:
+                reached -= cast[begin][1]
+                begin += 1
+            low = cast[begin][0]
+            if low == seen or reached + self.left_out[k] < self.needed(k) or best >= 1:
+                continue
+            if end + 1 < len(cast) and cast[end + 1][0] <= low + GAP:
+                continue  # the cluster goes on
+            seen = low
+            region = words[max(0, low - GAP) : max(0, low + len(template) + 2 * GAP)]
+            if all(m in b" " + b" ".join(region) + b" " for m in mandatory):
+                part = self.in_order(template, region) / self.whole[k]
+                best = max(best, part) if part >= self.least else best
+        return best
+
+    def in_order(self, template: list[bytes], region: list[bytes]) -> float:
+        """Weight of the heaviest common subsequence of words."""
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for at, w in enumerate(template):
+            places[w].append(at)
+        held = [0.0] * (len(template) + 1)  # held[i]: the heaviest that ends before place i
+        for w in region:
+            for at in reversed(places.get(w, ())):
+                reached = held[at] + self.idf[w]
+                for i in range(at + 1, len(held)):
+                    if held[i] >= reached:
+                        break
+                    held[i] = reached
+        return held[-1]
+
 
 def document_frequencies(docs: DataFrame, index: Index, text_col: str = "text") -> tuple[int, dict[bytes, int]]:
     """Number of documents, and of those that hold each template word: over all documents, in one pass."""
-    vocabulary = frozenset(index.postings)
+    vocabulary = index.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()

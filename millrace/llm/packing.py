@@ -166,7 +166,7 @@ def pack(
     docs: DataFrame,
     path: str,
     tokens: int = 2048,
-    documents: int = 2048,
+    documents: int = 256,
     attention: int = 2048 * 2048,
     rule: str = "norm",
     id_col: str = "doc_id",
@@ -174,6 +174,11 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    A sequence holds at most `tokens` tokens, `documents` pieces and a sum of squared lengths of `attention`, which has
+    to allow a whole piece. Where one piece may fill a sequence, the sum of squares is largest for that piece, so that
+    capacity steers the choice by its residual and binds only if `attention` is below the square of `tokens`, which
+    texts of that length then fit no more; `documents` binds where texts are short.
+
     Only texts longer than a sequence are cut. Null and empty texts are one piece, the closing id alone; equal
     rows are pieces of their own; null ids stay null; no rows give no rows. Other columns are ignored.
     """

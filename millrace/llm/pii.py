@@ -156,10 +156,11 @@ def features(tokens: list[str], i: int, j: int) -> list[float]:
         float(at and bool(SPELLED.fullmatch(text))),
         float(n == 10 and bool(TEN.fullmatch(text))),
         float(after == "." and j + 1 < len(tokens) and tokens[j + 1].isalpha()),
+        float(at and before in ".%+-_"),
     ]
 
 
-N_FEATURES = 30
+N_FEATURES = 31
 #: Whole shapes: an address with its mark spelled out, and ten digits of a phone number.
 SPELLED = re.compile(r"[\w.%+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?: ?(?:\.|dot) ?[A-Za-z]+)+")
 TEN = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
@@ -193,6 +194,9 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
         sep = rng.choice([".", "/", " ", "-"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
+    def local() -> str:
+        return word() + rng.choice(["", "", f".{word()}", f"_{word()}", num(2)])
+
     def mixture(letters: str, n: int) -> str:
         while True:
             out = "".join(rng.choice(letters + "0123456789") for _ in range(n))
@@ -217,8 +221,8 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
         return name + sign + quote, secret(), quote
 
     makers = [
-        lambda: (0, f"{word()} {rng.choice(['[at]', '(at)'])} {word()}.{rng.choice(['com', 'org', 'net'])}"),
-        lambda: (0, f"{word()}[at]{word()} dot com"),
+        lambda: (0, f"{local()} {rng.choice(['[at]', '(at)'])} {word()}.{rng.choice(['com', 'org', 'net'])}"),
+        lambda: (0, f"{local()}[at]{word()} dot com"),
         lambda: (1, " . ".join(str(rng.randint(0, 255)) for _ in range(4))),
         lambda: (2, card()),
         lambda: (3, f"({num(3)}) {num(3)}-{num(4)}"),

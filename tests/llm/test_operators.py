@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -159,6 +160,34 @@ def test_license():
     assert i.scan("This work is licensed under the GNU General Public License, version 3.")[5] == "gpl-3"
 
 
+def test_license_base_columns_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = collect(license_scan.scan_licenses(docs))
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    hits = 0
+    for r in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        at = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in phrases.items()}
+        every = sorted(sum(at.values(), []))
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"]) == (len(words), len(every), every[0] if every else None, every[-1] if every else None)
+        assert g["base_labels"] == ",".join(sorted(k for k, v in at.items() if v)) and set(g["base_labels"].split(",")) - {""} <= set(g["labels"].split(","))
+        hits += len(every)
+    assert hits
+
+
+def test_pii_base_columns_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = collect(pii.find_pii(docs))
+    for r in docs.collect():
+        t, g = r["text"] or "", got[r["doc_id"]]
+        base = plain_base(t)
+        assert [g[f"n_{k}"] for k in base] == [len(v) for v in base.values()]
+        assert g["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, v in base.items() for a, b in v).encode()).hexdigest()
+        every = g["spans"].split(",") if g["spans"] else []
+        assert {f"{k}:{a}:{b}" for k, v in base.items() for a, b in v} <= set(every) and g["n_spans"] == len(every)
+
+
 def test_license_table(spark):
     df, texts = documents(spark)
     got = collect(license_scan.scan_licenses(df))
@@ -188,22 +217,52 @@ def test_tokens_and_packing(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_against_the_lower_bound(spark):
+    """Pieces are what the tokenizer gives; sequences are few; every capacity can bind and does."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    whole, got = packing.tokenizer(path).whole, packing.pack(docs, path).collect()
+    want = set()
+    for d, t in texts.items():
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(d, at // 2048, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for at in range(0, len(ids), 2048)}
+    assert {tuple(r[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got} == want and len(got) == len(want)
+    fewest = -(-sum(w[3] for w in want) // 2048)
+    assert len({r["sequence_id"] for r in got}) <= 1.02 * fewest + 1
+    counts = {1: 1000, 10: 300, 700: 40}
+    for documents, attention in ((256, 2048**2), (20, 2048**2), (256, 10**6)):
+        for rule in ("norm", "dot"):
+            bins = packing.pack_histogram(dict(counts), 2048, documents, attention, rule)
+            for n, held in bins:
+                assert sum(k * c for k, c in held) <= 2048 and sum(c for _, c in held) <= documents and sum(k * k * c for k, c in held) <= attention
+            assert all(sum(n * c for n, held in bins for k, c in held if k == size) == often for size, often in counts.items())
+            made = sum(n for n, _ in bins)
+            assert made >= max(-(-sum(counts.values()) // documents), 20 if attention == 2048**2 else 20)
+            assert made <= {256: 22, 20: 72}[documents]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
-def test_pii_base():
+def plain_base(t):
+    """The base patterns as they are given."""
     bare = lambda m: re.sub("[ -]", "", m[0])
+    return {
+        "email": [m.span() for m in EMAIL.finditer(t)],
+        "ip": [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(t) if 13 <= len(bare(m)) <= 19 and pii.luhn(bare(m))],
+        "phone": [m.span() for m in PHONE.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15],
+    }
+
+
+def test_pii_base():
     for _ in range(5000):
         t = "".join(R.choice(["a", "@", ".", "b.c", "1", "23", "255", "300", " ", "-", "+", "(", ")", "4012888888881881", "x@y.z"]) for _ in range(R.randint(1, 24)))
-        assert pii.base_spans(t) == {
-            "email": [m.span() for m in EMAIL.finditer(t)],
-            "ip": [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
-            "card": [m.span() for m in CARD.finditer(t) if 13 <= len(bare(m)) <= 19 and pii.luhn(bare(m))],
-            "phone": [m.span() for m in PHONE.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15],
-        }
+        assert pii.base_spans(t) == plain_base(t)
 
 
 def test_pii_field():
@@ -213,7 +272,7 @@ def test_pii_field():
         tokens, gold = pii._sentence(r)
         got = set(pii.decode(tokens, w))
         right, total, wrong = right + len(got & set(gold)), total + len(gold), wrong + len(got - set(gold))
-    assert right > 0.6 * total and wrong < 0.3 * total
+    assert right > 0.9 * total and wrong < 0.1 * total
     base, found = pii.find("mail a@b.cc now", w)
     assert pii.redact("mail a@b.cc now", found) == "mail <EMAIL> now"
 
@@ -243,6 +302,17 @@ def test_shard(spark):
     assert shard.shard_rows(df.limit(0), 7).count() == 0
 
 
+def test_shard_columns_and_law(spark):
+    """Size and check sum of every text, hot ids and rows dealt over partitions, and draws of the law's mean and spread."""
+    texts = [None, "", "a", "héé", "x" * 5000] * 40
+    df = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = shard.shard_rows(df, 6).collect()
+    want = Counter((None if i % 3 else 7, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    draws = np.array([shard.communication_matrix([30, 50, 20], [40, 60], s)[0][0] for s in range(3000)])
+    assert abs(draws.mean() - 12) < 0.2 and abs(draws.var() - 30 * 0.4 * 0.6 * 70 / 99) < 0.6
+
+
 def test_hypergeometric_beyond_numpy():
     r = np.random.default_rng(2)
     x = [shard.hypergeometric(r, 10**9, 3 * 10**9, 10**6) for _ in range(300)]
@@ -318,6 +388,30 @@ def test_langid():
     assert [g[0] for g in got] == ["en", "de", "und", "und", "und"] and all(0 <= g[1] <= 1 for g in got)
 
 
+def test_langid_held_out(spark, monkeypatch):
+    """No row that is held out trains; languages few rows have are learned; held-out accuracy on a real table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.append(rows) or ([], {}))
+    marked = docs.select("doc_id", F.when(langid.held_out(), F.lit("held out " * 40)).otherwise(F.concat(F.lit("may train "), F.col("text"))).alias("text"), F.when(F.col("doc_id") == 1, "rare").otherwise(F.col("lang")).alias("lang"))
+    langid.learn(marked)
+    assert seen and not any("held out" in t for t, _ in seen[0]) and len(seen[0]) <= 5 * langid.SAMPLE_DOCS * langid.SAMPLE_WINDOWS
+    assert "rare" in {n for _, n in seen[0]} or docs.where("doc_id = 1").where(~langid.held_out()).count() == 0
+    monkeypatch.undo()
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    assert got.selectExpr("avg(cast(lang_pred = lang as int))").first()[0] > 0.97
+
+
+def test_langid_windows():
+    texts = [bytes(range(1, 1 + n % 200)) * (n // 100 + 1) for n in (1, 95, 96, 97, 250, 999)] + [b""]
+    x, owner = langid.windows(texts)
+    inside = x[langid.CONTEXT : langid.CONTEXT + langid.WINDOW]
+    for k, t in enumerate(texts):
+        assert inside[:, owner == k].T.tobytes().rstrip(b"\0") == t
+    wide = x[:, owner == 5].T
+    assert (wide[1, : langid.CONTEXT] == wide[0, langid.WINDOW : langid.WINDOW + langid.CONTEXT]).all()
+
+
 def test_langid_gradient():
     w = {k: v.astype(np.float64) for k, v in langid.init(3).items()}
     r = np.random.default_rng(0)
