@@ -56,12 +56,12 @@ def _rows(h: list[np.ndarray], g: list[np.ndarray], row: list[np.ndarray], at: l
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     h, g, row, at = join(h, np.uint64).view(np.int64), join(g, np.int32), join(row, np.int64), join(at, np.int32)
     order = np.lexsort((g, h))
-    h, g, row, at = h[order], g[order], row[order], at[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(h)))
-    more, known = start[count > 1], np.repeat(count > 1, count)
+    more, known = order[start[count > 1]], np.zeros(len(h), bool)
+    known[order] = np.repeat(count > 1, count)  # places stay in the order of the text, which packs well
     blank = np.zeros(len(more), np.int64)
     hashes = pa.array(np.concatenate([h, h[more]]), mask=np.concatenate([known, blank > 0]))
     return pa.RecordBatch.from_arrays(
