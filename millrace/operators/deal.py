@@ -1,11 +1,12 @@
 """How rows are dealt over tasks: joins that don't meet a hot key in one task, and cells of any ordered key space.
 
-Only comparisons of keys are used, so keys may be numbers, strings or binary (in byte order).
+Only comparisons of keys are used, so keys may be numbers, strings or binary (in byte order). But for `settle`, nothing
+here runs a job while a plan is built: cuts are a scalar subquery of the plan itself.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql.window import Window
 
 #: A key is hot if it holds more than one in HOT of all rows, so there are fewer than HOT such keys.
 HOT = 1000
-#: Cells that a key space is cut into at most, and keys that choose the cuts.
-CELLS, SAMPLE = 64, 4096
+#: Sampled keys per cell, salts of a lookup whose probes may share a key, ranks that one row expands to at a time.
+PER_CELL, SALTS, STEP = 16, 8, 1024
+#: Marks that are sent to every task; more of them are dealt by key range with their probes.
+FEW_MARKS = 4096
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
@@ -30,85 +33,124 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
     return near.unionByName(far)
 
 
-def cut_points(df: DataFrame, key: str, cells: int = CELLS) -> list:
-    """At most cells - 1 keys that cut df into like parts: quantiles of the distinct keys of smallest hashes.
+def settle(df: DataFrame) -> DataFrame:
+    """df, run and written to the checkpoint folder, so that what reads it several times doesn't repeat its plan.
 
-    A bounded sample of keys reaches the driver; which keys is up to their hashes alone, so a repeated run cuts alike.
+    Only a local master may go without spark.checkpoint.dir: one machine holds all tasks then.
     """
-    found = df.select(F.col(key).alias("k")).where("k is not null").groupBy("k").agg(F.xxhash64("k").alias("h")).orderBy("h", "k").limit(SAMPLE)
-    found = sorted(r["k"] for r in found.collect())
-    return sorted({found[len(found) * i // cells] for i in range(1, cells)}) if found else []
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()
 
 
-def cell_of(key: Column, cuts: list) -> Column:
-    """How many cuts are at or below the key, by a tree of comparisons; binary cuts are bytes."""
+def looked_up(marks: DataFrame, probes: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """As `nearest` going back, for settled marks of at most FEW_MARKS rows: a sorted array that every task searches by
+    halving, so probes aren't moved at all."""
+    found = marks.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("_key"), F.struct(*carried).alias("_mark")))).alias("all")).scalar()
+    lo, hi = F.lit(0).alias("lo"), F.size("_marks").alias("hi")
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.get("_marks", mid)["_key"] <= F.col(key)
+        moved = F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(moved)
 
-    return tree(0, len(cuts))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(FEW_MARKS.bit_length() + 1)), F.struct(lo, hi), halve)["lo"] - 1
+    got = F.when(at >= 0, F.get("_marks", F.greatest(at, F.lit(0)))["_mark"])
+    out = probes.withColumn("_marks", found).withColumn("_got", got).drop("_marks")
+    return out.select(*probes.columns, *[F.col(f"_got.{c}").alias(c) for c in carried])
 
 
-def with_cell(df: DataFrame, key: str, cuts: list, name: str = "_cell") -> DataFrame:
-    return df.withColumn(name, cell_of(F.col(key), cuts))
+def cuts(df: DataFrame, key: str) -> Column:
+    """A sorted array of keys that cut df into like parts, one part per shuffle partition of the session.
 
+    They are quantiles of a bounded sample: the distinct keys of the smallest hashes, so a repeated run cuts alike.
+    """
+    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(PER_CELL * cells)
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(1, cells - 1))), lambda i: F.get("all", F.floor(i * F.size("all") / cells).cast("int")))
+    return found.agg(F.array_sort(F.collect_list("k")).alias("all")).select(F.array_distinct(F.filter(at, lambda x: x.isNotNull()))).scalar()
 
-def ranked(df: DataFrame, key: str, cuts: list, name: str = "_rank") -> DataFrame:
-    """df, whose keys are distinct, with `name`: 0, 1, ... in key order. A prefix over the cells' counts, of which
-    there are at most CELLS, moves each cell's own ranks."""
-    dealt = with_cell(df, key, cuts)
-    counts = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_at"))  # a row per cell
-    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1)
-    return own.join(F.broadcast(starts), "_cell").withColumn(name, F.col("_at") + F.col("_r")).drop("_cell", "_at", "_r")
 
+def with_cell(df: DataFrame, key: str, by: Column) -> DataFrame:
+    """df with `_cell`: how many cuts are at or below the key, by halving; `_cell` is below the shuffle partitions."""
+    halvings = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1
+    lo, hi = F.lit(0).alias("lo"), F.size("_cuts").alias("hi")
 
-def prefix_sums(df: DataFrame, key: str, value: str, cuts: list, name: str) -> DataFrame:
-    """df, whose keys are distinct, with `name`: the sum of value over all keys up to its own."""
-    dealt = with_cell(df, key, cuts)
-    sums = dealt.groupBy("_cell").agg(F.sum(value).alias("_n"))
-    starts = sums.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_at"))  # a row per cell
-    own = dealt.withColumn("_r", F.sum(value).over(Window.partitionBy("_cell").orderBy(key)))
-    return own.join(F.broadcast(starts), "_cell").withColumn(name, F.col("_at") + F.col("_r")).drop("_cell", "_at", "_r")
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up, done = F.get("_cuts", mid) <= F.col(key), s["lo"] >= s["hi"]
+        return F.when(done, s).otherwise(F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi")))
 
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(lo, hi), halve)["lo"]
+    return df.withColumn("_cuts", by).withColumn("_cell", found).drop("_cuts")
 
-def last_at_or_before(marks: DataFrame, probes: DataFrame, key: str, carried: list[str], cuts: list) -> DataFrame:
-    """probes, with the columns `carried` of the last of marks (distinct keys) whose key isn't above theirs; null for none.
 
-    One sorted pass per cell; what a cell lacks comes from the last mark of the cells before, a row per cell.
-    """
-    return _nearest(marks, probes, key, carried, cuts, True)
+def _ahead(parts: DataFrame, value: str) -> DataFrame:
+    """Per cell the sum of value over the cells before: a window over a row per cell."""
+    return parts.select("_cell", (F.sum(value).over(Window.orderBy("_cell")) - F.col(value)).alias("_at"))
 
 
-def first_at_or_after(marks: DataFrame, probes: DataFrame, key: str, carried: list[str], cuts: list) -> DataFrame:
-    """As last_at_or_before, with the first mark whose key isn't below."""
-    return _nearest(marks, probes, key, carried, cuts, False)
+def ranked(df: DataFrame, key: str, name: str = "_rank", following: str | None = None) -> DataFrame:
+    """df, whose keys are distinct, with `name`: 0, 1, ... in key order, and with `following`: the next key.
 
+    Cells rank on their own and move by the counts of those before; counts and first keys are a row per cell, which
+    is broadcast.
+    """
+    dealt = with_cell(df, key, cuts(df, key))
+    past, later = Window.orderBy("_cell"), Window.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_k"))
+    starts = starts.select("_cell", (F.sum("_n").over(past) - F.col("_n")).alias("_at"), F.last("_k").over(later).alias("_k"))  # a row per cell
+    w = Window.partitionBy("_cell").orderBy(key)
+    own = dealt.withColumn("_r", F.row_number().over(w) - 1)
+    if following:
+        own = own.withColumn("_f", F.lead(key).over(w))
+    out = own.join(F.broadcast(starts), "_cell").withColumn(name, (F.col("_at") + F.col("_r")).cast("long"))
+    if following:
+        out = out.withColumn(following, F.coalesce("_f", "_k")).drop("_f")
+    return out.drop("_cell", "_at", "_r", "_k")
+
+
+def prefix_sums(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df, whose keys are distinct, with `name`: the sum of value over all keys up to its own."""
+    dealt = with_cell(df, key, cuts(df, key))
+    starts = _ahead(dealt.groupBy("_cell").agg(F.sum(value).alias("_n")), "_n")
+    own = dealt.withColumn("_r", F.sum(value).over(Window.partitionBy("_cell").orderBy(key)))
+    return own.join(F.broadcast(starts), "_cell").withColumn(name, F.col("_at") + F.col("_r")).drop("_cell", "_at", "_r")
 
-def _nearest(marks: DataFrame, probes: DataFrame, key: str, carried: list[str], cuts: list, before: bool) -> DataFrame:
-    m = marks.select(key, F.struct(*carried).alias("_mark")).withColumn("_is", F.lit(0))
+
+def nearest(marks: DataFrame, probes: DataFrame, key: str, carried: list[str], before: bool = True, salts: int = 1, strict: bool = False) -> DataFrame:
+    """probes, with the columns `carried` of the last of marks (distinct keys) at or before their key, or of the first
+    at or after it; null for none. strict leaves out a mark at the probe's own key.
+
+    One sorted pass per cell; what a cell lacks comes from the nearest mark of the cells beside it, a row per cell.
+    Where probes may share a key, salts spread them, each with a copy of the marks.
+    """
+    by = cuts(marks.select(key).union(probes.select(key)), key)
     own = [c for c in probes.columns if c != key]
-    p = probes.select(key, F.struct(*own).alias("_own") if own else F.struct(F.lit(1).alias("_1")).alias("_own")).withColumn("_is", F.lit(1))
-    both = with_cell(m.unionByName(p, allowMissingColumns=True), key, cuts)
-    order = [F.col(key), F.col("_is")] if before else [F.col(key).desc(), F.col("_is")]
-    pick = F.last("_mark", True)
-    w = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    edge = with_cell(m, key, cuts).groupBy("_cell").agg((F.max_by if before else F.min_by)("_mark", key).alias("_edge"))
-    every = marks.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_cell")).join(edge, "_cell", "left")  # a row per cell
-    far = pick_far(every, before)
-    near = both.withColumn("_near", pick.over(w)).where("_is = 1")
-    found = near.join(F.broadcast(far), "_cell", "left").withColumn("_got", F.coalesce("_near", "_far"))
-    return found.select(key, *[F.col(f"_own.{c}") for c in own], *[F.col(f"_got.{c}").alias(c) for c in carried])
-
-
-def pick_far(every: DataFrame, before: bool) -> DataFrame:
-    order = F.col("_cell") if before else F.col("_cell").desc()
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
-    return every.select("_cell", F.last("_edge", True).over(w).alias("_far"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    m = with_cell(marks.select(key, F.struct(*carried).alias("_mark")), key, by)
+    p = with_cell(probes.select(key, F.struct(F.lit(1).alias("_one"), *own).alias("_own")), key, by)
+    p = p.withColumn("_salt", F.pmod(F.xxhash64(key, "_own"), F.lit(salts)).cast("int") if salts > 1 else F.lit(0))
+    copies = m.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = copies.withColumn("_is", F.lit(0)).unionByName(p.withColumn("_is", F.lit(1)), allowMissingColumns=True)
+    order = [F.col(key) if before else F.col(key).desc(), F.col("_is").desc() if strict else F.col("_is")]
+    w = Window.partitionBy("_cell", "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_near", F.last("_mark", True).over(w)).where("_is = 1")
+    edge = m.groupBy("_cell").agg((F.max_by if before else F.min_by)("_mark", key).alias("_edge"))
+    cells = marks.sparkSession.range(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = cells.select(F.col("id").cast("int").alias("_cell")).join(edge, "_cell", "left")  # a row per cell
+    past = Window.orderBy(F.col("_cell") if before else F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    far = every.select("_cell", F.last("_edge", True).over(past).alias("_far"))
+    found = found.join(F.broadcast(far), "_cell", "left").withColumn("_got", F.coalesce("_near", "_far"))
+    return found.select(key, *[F.col(f"_own.{c}").alias(c) for c in own], *[F.col(f"_got.{c}").alias(c) for c in carried])
+
+
+def expand(df: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """A row per number from first to last, in steps, so that no array is long."""
+    steps = F.sequence(F.floor(F.col(first) / STEP), F.floor(F.col(last) / STEP))
+    part = df.where(F.col(first) <= F.col(last)).withColumn("_step", F.explode(steps))
+    inside = F.sequence(F.greatest(F.col(first), F.col("_step") * STEP), F.least(F.col(last), F.col("_step") * STEP + STEP - 1))
+    return part.withColumn(name, F.explode(inside)).drop("_step")

@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import keys
-from millrace.operators import maintain, spans, stats, view
+from millrace.operators import maintain, spans, stats, view, write
 from millrace.sources.tables import files, oplog, range_deletions, range_keys, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Snapshots of the compaction queries and of the reads.
-STRIPES, SNAPSHOT = [3000, 6000], 8000
+#: Snapshots lie at tenths of a log: those of the compaction queries, and the one of the reads.
+THIRDS, MIDDLE = (3, 6), 4
+
+
+def at(log: DataFrame, tenths: int) -> Column:
+    """A snapshot at so many tenths of the log's numbers, read with the query."""
+    return log.agg(F.expr(f"max(seq) * {tenths} div 10")).scalar()
+
+
+def at_sql(tenths: int) -> str:
+    return f"(SELECT max(seq) * {tenths} // 10 FROM log)"
+
+
+def stripes(log: DataFrame) -> list[Column]:
+    return [at(log, k) for k in THIRDS]
+
+
 
 LOG = """log AS (SELECT user_id AS key, event_id + 10 AS seq,
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'SET' WHEN event_type = 'error' THEN 'DEL' ELSE 'MERGE' END AS kind,
@@ -40,7 +55,16 @@ def resolved(log: str, dels: str | None, out: str = "resolved") -> str:
     return f"""left_ AS (SELECT * FROM {log} l {cover}),
 bars AS (SELECT *, coalesce(max(CASE WHEN kind <> 'MERGE' THEN seq END) OVER (PARTITION BY key), -1) AS bar FROM left_),
 {out} AS (SELECT key, CAST(sum(val) AS BIGINT) AS val, string_agg(CAST(val AS VARCHAR), ',' ORDER BY seq) AS trail, count(*) AS n, max(seq) AS seq
-  FROM bars WHERE seq >= bar AND kind IN ('SET', 'MERGE') GROUP BY key)"""
+  FROM bars WHERE seq >= bar AND kind IN ('SET', 'SETWITHDEL', 'MERGE') GROUP BY key)"""
+
+
+def cut_sql(src: str, columns: str, out: str = "frags") -> str:
+    """Fragments of spans: every span at every boundary in it."""
+    return f"""cuts_{out} AS (SELECT start AS edge FROM {src} UNION SELECT stop FROM {src}),
+{out} AS (SELECT c.edge AS start, (SELECT min(edge) FROM cuts_{out} x WHERE x.edge > c.edge) AS stop, {columns} FROM {src} m JOIN cuts_{out} c ON c.edge >= m.start AND c.edge < m.stop)"""
+
+
+STRIPE = f"CAST(seq >= {at_sql(3)} AS INT) + CAST(seq >= {at_sql(6)} AS INT) AS stripe"
 
 
 def query(name: str, sql: str | None) -> Callable:
@@ -53,36 +77,36 @@ def query(name: str, sql: str | None) -> Callable:
     return add
 
 
-SEEN = f"seen AS (SELECT * FROM log WHERE seq < {SNAPSHOT}), sdels AS (SELECT * FROM dels WHERE seq < {SNAPSHOT})"
-
-
-@query("latest_state", f"WITH {LOG}, {DELS}, {SEEN}, {resolved('seen', 'sdels')} SELECT * FROM resolved")
+@query("latest_state", f"WITH {LOG}, {DELS}, {resolved('log', 'dels')} SELECT * FROM resolved")
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
-    return view.resolve(oplog(spark, d), range_deletions(spark, d), SNAPSHOT)
+    """Every key as the newest entry leaves it, with the operands that it folds."""
+    return view.resolve(oplog(spark, d), range_deletions(spark, d), trail=True)
 
 
-@query("snapshot_read", f"WITH {LOG}, old AS (SELECT * FROM log WHERE seq < 4000), {resolved('old', None)} SELECT key, val, n FROM resolved")
+@query("snapshot_read", f"WITH {LOG}, old AS (SELECT * FROM log WHERE seq < {at_sql(MIDDLE)}), {resolved('old', None)} SELECT key, val, n FROM resolved")
 def snapshot_read(spark: SparkSession, d: str) -> DataFrame:
-    return view.resolve(oplog(spark, d), None, 4000).select("key", "val", "n")
+    log = oplog(spark, d)
+    return view.resolve(log, None, at(log, MIDDLE)).select("key", "val", "n")
 
 
 @query(
     "snapshot_diff",
-    f"""WITH {LOG}, o AS (SELECT * FROM log WHERE seq < 4000), {resolved("o", None, "a")},
+    f"""WITH {LOG}, o AS (SELECT * FROM log WHERE seq < {at_sql(MIDDLE)}), {resolved("o", None, "a")},
 left_2 AS (SELECT * FROM log), bars2 AS (SELECT *, coalesce(max(CASE WHEN kind <> 'MERGE' THEN seq END) OVER (PARTITION BY key), -1) AS bar FROM left_2),
 b AS (SELECT key, CAST(sum(val) AS BIGINT) AS val FROM bars2 WHERE seq >= bar AND kind IN ('SET', 'MERGE') GROUP BY key)
 SELECT coalesce(a.key, b.key) AS key, a.val AS before, b.val AS after FROM a FULL JOIN b ON a.key = b.key WHERE a.val IS DISTINCT FROM b.val""",
 )
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Keys whose value differs between a snapshot and now."""
     log = oplog(spark, d)
-    a = view.resolve(log, None, 4000).select("key", F.col("val").alias("before"))
+    a = view.resolve(log, None, at(log, MIDDLE)).select("key", F.col("val").alias("before"))
     b = view.resolve(log).select("key", F.col("val").alias("after"))
     return a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 @query("point_get", f"WITH {LOG}, one AS (SELECT * FROM log WHERE key = 7), {resolved('one', None)} SELECT key, val, trail FROM resolved")
 def point_get(spark: SparkSession, d: str) -> DataFrame:
-    return view.resolve(oplog(spark, d).where("key = 7")).select("key", "val", "trail")
+    return view.resolve(oplog(spark, d).where("key = 7"), trail=True).select("key", "val", "trail")
 
 
 @query("multi_get", f"WITH {LOG}, chosen AS (SELECT * FROM log WHERE key IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')), {resolved('chosen', None)} SELECT key, val FROM resolved")
@@ -115,7 +139,7 @@ def batch_only(spark: SparkSession, d: str) -> DataFrame:
 )
 def external_merge(spark: SparkSession, d: str) -> DataFrame:
     log = oplog(spark, d).withColumn("priority", F.col("seq") % 2)
-    return view.newest(log, ["key"], [F.col("priority"), F.col("seq").desc()]).where("kind != 'DEL'").select("key", "priority", "seq", "val")
+    return view.newest(log, ["key"], [-F.col("priority"), F.col("seq")]).where("kind != 'DEL'").select("key", "priority", "seq", "val")
 
 
 @query("internal_scan", f"WITH {LOG} SELECT key, seq, kind, val FROM log WHERE key BETWEEN 10 AND 29")
@@ -123,9 +147,39 @@ def internal_scan(spark: SparkSession, d: str) -> DataFrame:
     return oplog(spark, d).where("key between 10 and 29").select("key", "seq", "kind", "val")
 
 
-@query("internal_scan_collapsed", f"WITH {LOG} SELECT key, seq, kind FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log WHERE kind <> 'MERGE') WHERE r = 1")
-def internal_scan_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return view.newest(oplog(spark, d).where("kind != 'MERGE'"), ["key"], [F.col("seq").desc()]).select("key", "seq", "kind")
+PLAIN = "plain AS (SELECT key, seq, CASE WHEN kind = 'MERGE' THEN 'SET' ELSE kind END AS kind, val FROM log)"
+
+
+def _beneath(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    log = oplog(spark, d)
+    plain = log.select("key", "seq", F.when(F.col("kind") == "MERGE", "SET").otherwise(F.col("kind")).alias("kind"), "val")
+    return view.internal_scan(plain, range_deletions(spark, d), range_keys(spark, d), at(log, MIDDLE))
+
+
+@query(
+    "internal_scan_points",
+    f"""WITH {LOG}, {DELS}, {PLAIN}, s AS (SELECT * FROM plain l WHERE seq < {at_sql(MIDDLE)} AND NOT EXISTS (SELECT 1 FROM dels d WHERE d.seq < {at_sql(MIDDLE)} AND l.key >= d.start AND l.key < d.stop AND d.seq > l.seq))
+SELECT key, seq, kind, val FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM s) WHERE r = 1""",
+)
+def internal_scan_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of a scan below the surface at a snapshot: newest entries, deletions too."""
+    return _beneath(spark, d)[0].select("key", "seq", "kind", "val")
+
+
+@query("internal_scan_deletions", f"WITH {LOG}, {DELS}, sdels AS (SELECT * FROM dels WHERE seq < {at_sql(MIDDLE)}), {cut_sql('sdels', 'm.seq')} SELECT start, stop, max(seq) AS seq FROM frags GROUP BY ALL")
+def internal_scan_deletions(spark: SparkSession, d: str) -> DataFrame:
+    return _beneath(spark, d)[1]
+
+
+@query(
+    "internal_scan_range_keys",
+    f"""WITH {LOG}, {MARKS}, smarks AS (SELECT * FROM marks WHERE seq < {at_sql(MIDDLE)}), {cut_sql('smarks', 'm.seq, m.kind, m.suffix, m.val')},
+dead AS (SELECT *, coalesce(max(CASE WHEN kind = 'DEL' THEN seq END) OVER (PARTITION BY start, stop), -1) AS dead FROM frags),
+r AS (SELECT *, row_number() OVER (PARTITION BY start, stop, kind = 'DEL', CASE WHEN kind = 'DEL' THEN 0 ELSE suffix END ORDER BY seq DESC, CASE WHEN kind = 'SET' THEN 0 ELSE 1 END, val DESC) AS r FROM dead WHERE seq >= dead)
+SELECT start, stop, kind, CASE WHEN kind <> 'DEL' THEN suffix END AS suffix, seq FROM r WHERE r = 1""",
+)
+def internal_scan_range_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _beneath(spark, d)[2].select("start", "stop", "kind", "suffix", "seq")
 
 
 @query("bounded_scan", f"WITH {LOG}, chosen AS (SELECT * FROM log WHERE key >= 20 AND key < 60), {resolved('chosen', None)} SELECT key, val FROM resolved ORDER BY key")
@@ -171,8 +225,9 @@ def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
 NEWEST = "row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)"
 
 
-def _line_order() -> list:
-    return [F.col("l_shipdate").desc(), *map(F.col, ("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))]
+def _line_order() -> list[Column]:
+    """The newest ship date, then the smallest of the rest: the largest of these columns."""
+    return [F.col("l_shipdate"), *[-F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]]
 
 
 @query("next_prefix", f"SELECT l_partkey, l_shipdate, l_orderkey, l_quantity FROM (SELECT *, {NEWEST} AS r FROM lineitem) WHERE r = 1")
@@ -227,11 +282,27 @@ UNION ALL SELECT s.start, FALSE, TRUE, NULL, s.start, s.stop FROM sp s WHERE NOT
 )
 def combined_iteration(spark: SparkSession, d: str) -> DataFrame:
     points = view.resolve(oplog(spark, d)).select("key", "val")
-    sp = spans.coalesce(spans.fragments(range_keys(spark, d))).select("start", "stop").distinct()
-    hit = view.cover(points, sp, "inner", F.lit(True)).select(F.col("p.key").alias("key"), F.col("s.start").alias("range_start"), F.col("s.stop").alias("range_end"))
-    both = points.join(hit, "key", "left").select("key", F.lit(True).alias("has_point"), F.col("range_start").isNotNull().alias("has_range"), "val", "range_start", "range_end")
-    alone = sp.join(points, sp["start"] == points["key"], "left_anti")
-    return both.unionByName(alone.select(F.col("start").alias("key"), F.lit(False).alias("has_point"), F.lit(True).alias("has_range"), F.lit(None).cast("long").alias("val"), F.col("start").alias("range_start"), F.col("stop").alias("range_end")))
+    return view.combined(points, spans.coalesce(spans.fragments(range_keys(spark, d))))
+
+
+@query(
+    "combined_bounded",
+    f"""WITH {LOG}, {MARKS}, {FRAGS}, {COAL}, {resolved("log", None)}, sp AS (SELECT DISTINCT greatest(start, 20) AS start, least(stop, 60) AS stop FROM coal WHERE greatest(start, 20) < least(stop, 60)),
+p AS (SELECT * FROM resolved WHERE key >= 20 AND key < 60)
+SELECT r.key, TRUE AS has_point, s.start IS NOT NULL AS has_range, r.val, s.start AS range_start, s.stop AS range_end FROM p r LEFT JOIN sp s ON r.key >= s.start AND r.key < s.stop
+UNION ALL SELECT s.start, FALSE, TRUE, NULL, s.start, s.stop FROM sp s WHERE NOT EXISTS (SELECT 1 FROM p r WHERE r.key = s.start)""",
+)
+def combined_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Points and range keys between bounds; spans are clipped to them."""
+    points = view.resolve(oplog(spark, d)).select("key", "val")
+    return view.combined(points, spans.coalesce(spans.fragments(range_keys(spark, d))), 20, 60)
+
+
+@query("ranges_only", f"WITH {MARKS}, {FRAGS}, {COAL} SELECT DISTINCT start AS key, start AS range_start, stop AS range_end FROM coal")
+def ranges_only(spark: SparkSession, d: str) -> DataFrame:
+    """An iterator over range keys alone."""
+    points = view.resolve(oplog(spark, d)).select("key", "val")
+    return view.combined(points, spans.coalesce(spans.fragments(range_keys(spark, d))), kinds="ranges").select("key", "range_start", "range_end")
 
 
 @query(
@@ -254,39 +325,65 @@ def span_overlap(spark: SparkSession, d: str) -> DataFrame:
     return spans.overlapping(range_keys(spark, d), 40, 50).select("start", "stop", "seq")
 
 
+def fold_sql(src: str) -> str:
+    """What the rules leave of each key and stripe of src (newest entry: i = least), one entry each."""
+    return f"""g AS (SELECT *, first_value(kind) OVER w AS top, first_value(val) OVER w AS top_val, max(seq) OVER p AS top_seq,
+  max(CASE WHEN kind <> 'MERGE' THEN seq END) OVER p AS bar, max(CASE WHEN kind IN ('DEL', 'SINGLEDEL') THEN 1 ELSE 0 END) OVER p AS gone
+  FROM {src} WINDOW p AS (PARTITION BY key, stripe), w AS (PARTITION BY key, stripe ORDER BY seq DESC)),
+folded AS (SELECT key, stripe, any_value(top_seq) AS seq,
+  CASE any_value(top) WHEN 'MERGE' THEN CASE WHEN any_value(bar) IS NULL THEN 'MERGE' WHEN max(CASE WHEN seq = bar THEN kind END) = 'SET' THEN 'SET' ELSE 'SETWITHDEL' END
+    WHEN 'SET' THEN CASE WHEN any_value(gone) = 1 THEN 'SETWITHDEL' ELSE 'SET' END ELSE any_value(top) END AS kind,
+  CAST(CASE any_value(top) WHEN 'MERGE' THEN sum(CASE WHEN seq >= coalesce(bar, -1) AND kind IN ('SET', 'MERGE') THEN val END) WHEN 'SET' THEN any_value(top_val) END AS BIGINT) AS val
+  FROM g GROUP BY key, stripe)"""
+
+
+@query("compaction_stripes", f"WITH {LOG}, s AS (SELECT *, {STRIPE} FROM log), {fold_sql('s')} SELECT key, stripe, seq, kind, val FROM folded")
+def compaction_stripes(spark: SparkSession, d: str) -> DataFrame:
+    log = oplog(spark, d)
+    return maintain.compact(log, stripes(log))
+
+
 @query(
-    "compaction_stripes",
-    f"""WITH {LOG}, s AS (SELECT *, CAST(seq >= 3000 AS INT) + CAST(seq >= 6000 AS INT) AS stripe FROM log),
-b AS (SELECT *, coalesce(max(CASE WHEN kind <> 'MERGE' THEN seq END) OVER (PARTITION BY key, stripe), -1) AS bar FROM s)
-SELECT key, stripe, max(seq) AS seq, CAST(sum(CASE WHEN kind <> 'DEL' THEN val END) AS BIGINT) AS val,
-CASE WHEN bool_or(kind = 'MERGE') AND bool_or(kind = 'DEL') THEN 'SETWITHDEL' WHEN bool_or(kind = 'DEL') THEN 'DEL' WHEN bool_or(kind = 'SET') THEN 'SET' ELSE 'MERGE' END AS kind
-FROM b WHERE seq >= bar GROUP BY key, stripe""",
+    "compaction_bottom",
+    f"""WITH {LOG}, {DELS}, s AS (SELECT l.*, {STRIPE} FROM log l), ds AS (SELECT *, {STRIPE} FROM dels),
+left_ AS (SELECT * FROM s l WHERE NOT EXISTS (SELECT 1 FROM ds d WHERE d.stripe = l.stripe AND l.key >= d.start AND l.key < d.stop AND d.seq > l.seq)), {fold_sql('left_')}
+SELECT key, stripe, seq, CASE WHEN stripe = 0 AND kind IN ('MERGE', 'SETWITHDEL') THEN 'SET' ELSE kind END AS kind, val FROM folded WHERE NOT (stripe = 0 AND kind = 'DEL')""",
 )
-def compaction_stripes(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.compact(oplog(spark, d), STRIPES)
+def compaction_bottom(spark: SparkSession, d: str) -> DataFrame:
+    """A compaction to the bottom level, with range deletions."""
+    log = oplog(spark, d)
+    return maintain.compact(log, stripes(log), True, range_deletions(spark, d))
 
 
-@query("compaction_rangedel", f"WITH {DELS} SELECT start, stop, CAST(seq >= 3000 AS INT) + CAST(seq >= 6000 AS INT) AS stripe, max(seq) AS seq FROM dels GROUP BY ALL")
+@query("compaction_rangedel", f"WITH {LOG}, {DELS}, {cut_sql('dels', 'm.seq')}, s AS (SELECT *, {STRIPE} FROM frags) SELECT start, stop, stripe, max(seq) AS seq FROM s WHERE stripe <> 0 GROUP BY ALL")
 def compaction_rangedel(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.compact_deletions(range_deletions(spark, d), STRIPES)
+    """Range deletions after a compaction to the bottom: fragments, the newest of each stripe but the oldest."""
+    return maintain.compact_deletions(range_deletions(spark, d), stripes(oplog(spark, d)), True)
 
 
-@query("tombstone_elision", f"WITH {LOG} SELECT key, seq, kind FROM log a WHERE seq >= 6000 AND (kind <> 'DEL' OR EXISTS (SELECT 1 FROM log b WHERE b.seq < 500 AND b.key = a.key))")
+@query(
+    "tombstone_elision",
+    f"""WITH {LOG}, in_use AS (SELECT key // 32 AS f, min(key) AS lo, max(key) AS hi FROM log WHERE seq < {at_sql(1)} AND key % 64 < 48 GROUP BY 1)
+SELECT key, seq, kind FROM log a WHERE seq >= {at_sql(1)} AND (kind <> 'DEL' OR EXISTS (SELECT 1 FROM in_use WHERE a.key BETWEEN lo AND hi))""",
+)
 def tombstone_elision(spark: SparkSession, d: str) -> DataFrame:
+    """Deletions stay only where a file of the lower level may hold their key."""
     log = oplog(spark, d)
-    return maintain.elide_tombstones(log.where("seq >= 6000"), log.where("seq < 500")).select("key", "seq", "kind")
+    low = log.where((F.col("seq") < at(log, 1)) & (F.col("key") % 64 < 48)).groupBy(F.expr("key div 32")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    return maintain.elide_tombstones(log.where(F.col("seq") >= at(log, 1)), low.select("lo", "hi")).select("key", "seq", "kind")
 
 
 @query(
     "ingest_merge",
     f"""WITH {LOG}, rows_ AS (SELECT o_custkey AS key, o_custkey // 500 AS f, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS val FROM orders GROUP BY ALL),
-fs AS (SELECT f, 1000000 - 1 + row_number() OVER (ORDER BY min(key), f) AS seq FROM rows_ GROUP BY f),
+fs AS (SELECT f, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY min(key), f) AS seq FROM rows_ GROUP BY f),
 u AS (SELECT key, seq, kind, val FROM log UNION ALL SELECT key, seq, 'SET', val FROM rows_ JOIN fs USING (f)), {resolved("u", None)} SELECT key, val, seq FROM resolved""",
 )
 def ingest_merge(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").withColumn("f", F.expr("o_custkey div 500"))
     rows = o.groupBy(F.col("o_custkey").alias("key"), "f").agg(F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("val"))
-    return view.resolve(maintain.ingest(oplog(spark, d), rows, "f", 1_000_000)).select("key", "val", "seq")
+    log = oplog(spark, d)
+    return view.resolve(maintain.ingest(log, rows, "f", write.next_number(log))).select("key", "val", "seq")
 
 
 @query("ingest_overlap_check", f"WITH {FILES} SELECT count(*) AS n FROM (SELECT *, lag(largest) OVER (ORDER BY smallest, file_id) AS before FROM files) WHERE before >= smallest")
@@ -321,16 +418,6 @@ def scan_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.scan_statistics(oplog(spark, d))
 
 
-@query("disk_usage", f"WITH {FILES} SELECT level, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(coalesce(sum(CASE WHEN smallest >= 150 AND largest <= 9050 THEN bytes END), 0) AS BIGINT) AS whole_bytes FROM files WHERE smallest <= 9050 AND largest >= 150 GROUP BY level")
-def disk_usage(spark: SparkSession, d: str) -> DataFrame:
-    return stats.disk_usage(files(spark, d), 150, 9050)
-
-
-@query("approx_mid_key", f"WITH {FILES}, r AS (SELECT *, sum(bytes) OVER (ORDER BY largest, file_id) AS run, sum(bytes) OVER () AS total FROM files) SELECT min(largest) AS mid_key FROM r WHERE 2 * run >= total")
-def approx_mid_key(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mid_key(files(spark, d))
-
-
 @query("level_metrics", f"WITH {FILES} SELECT level, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(entries) AS BIGINT) AS entries FROM files GROUP BY ROLLUP (level)")
 def level_metrics(spark: SparkSession, d: str) -> DataFrame:
     return stats.level_metrics(files(spark, d))
@@ -342,46 +429,6 @@ def read_amp(spark: SparkSession, d: str) -> DataFrame:
     return stats.stabbing_depth(e.select(F.col("event_id").alias("smallest"), (F.col("event_id") + 50 + F.col("user_id")).alias("largest")))
 
 
-@query("write_amp", f"WITH {FILES} SELECT CASE WHEN sum(CASE WHEN level = 0 THEN entries ELSE 0 END) = 0 THEN 0.0 ELSE CAST(sum(entries) AS DOUBLE) / sum(CASE WHEN level = 0 THEN entries ELSE 0 END) END AS write_amp FROM files")
-def write_amp(spark: SparkSession, d: str) -> DataFrame:
-    into = F.sum(F.when(F.col("level") == 0, F.col("entries")).otherwise(0))
-    return files(spark, d).agg(stats.ratio(F.sum("entries").cast("double"), into).alias("write_amp"))
-
-
-@query("table_properties", "SELECT l_linenumber AS level, count(*) AS n, min(l_orderkey) AS smallest, max(l_orderkey) AS largest, count(DISTINCT l_partkey) AS n_prefixes FROM lineitem GROUP BY l_linenumber")
-def table_properties(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("smallest"), F.max("l_orderkey").alias("largest"), F.countDistinct("l_partkey").alias("n_prefixes"))
-
-
-@query("metadata_percentiles", "SELECT lang, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, round(avg(n_chars), 6) AS mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS stddev FROM documents GROUP BY lang")
-def metadata_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.expr("percentile(n_chars, 0.5)").alias("p50"), F.expr("percentile(n_chars, 0.9)").alias("p90"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n_chars"), F.lit(0.0)), 6).alias("stddev"))
-
-
-@query("tier_bytes", "SELECT l_returnflag AS tier, CAST(sum(CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS below, CAST(sum(CASE WHEN l_shipdate >= TIMESTAMP '1996-01-01' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS above FROM lineitem GROUP BY l_returnflag")
-def tier_bytes(spark: SparkSession, d: str) -> DataFrame:
-    old, q = F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"), F.col("l_quantity").cast("long")
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("tier")).agg(F.sum(F.when(old, q).otherwise(0)).alias("below"), F.sum(F.when(~old, q).otherwise(0)).alias("above"))
-
-
-@query("maintenance_windows", "SELECT CAST(greatest(ceil((epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-01')) / 3600.0) - 1, 0) AS BIGINT) AS win, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY ALL")
-def maintenance_windows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.groupBy(stats.tumbling(e, "ts", "2024-01-01 00:00:00", 3600).alias("win"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("bytes"))
-
-
-@query("rate_deltas", f"WITH {LOG} SELECT key, seq, greatest(val - lag(val) OVER (PARTITION BY key ORDER BY seq), 0) AS delta FROM log")
-def rate_deltas(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("val").over(Window.partitionBy("key").orderBy("seq"))
-    return oplog(spark, d).select("key", "seq", F.greatest(F.col("val") - before, F.lit(0)).alias("delta"))
-
-
-@query("key_categories", "SELECT CASE WHEN c_custkey < 100 THEN 'system' WHEN c_custkey < 500 THEN 'meta' WHEN c_custkey < 1000 THEN 'user' ELSE 'other' END AS category, count(*) AS n FROM customer GROUP BY 1")
-def key_categories(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, d, "customer").groupBy(F.when(k < 100, "system").when(k < 500, "meta").when(k < 1000, "user").otherwise("other").alias("category")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("check_levels", f"WITH {LOG}, l AS (SELECT key, seq, seq % 3 AS level FROM log), a AS (SELECT *, min(seq) OVER (PARTITION BY key ORDER BY level, seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l) SELECT count(*) AS n FROM a WHERE seq > above")
 def check_levels(spark: SparkSession, d: str) -> DataFrame:
     return stats.level_violations(oplog(spark, d).withColumn("level", F.col("seq") % 3)).agg(F.count(F.lit(1)).alias("n"))
@@ -396,19 +443,13 @@ def find_key(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "ingest_and_excise",
     f"""WITH {LOG}, u AS (SELECT key, seq, kind, val FROM log WHERE key < 40 OR key >= 80
-UNION ALL SELECT o_custkey, 1000000, 'SET', max(CAST(round(o_totalprice * 100) AS BIGINT)) FROM orders WHERE o_custkey >= 40 AND o_custkey < 80 GROUP BY o_custkey), {resolved("u", None)} SELECT key, val FROM resolved""",
+UNION ALL SELECT o_custkey, (SELECT max(seq) + 1 FROM log), 'SET', max(CAST(round(o_totalprice * 100) AS BIGINT)) FROM orders WHERE o_custkey >= 40 AND o_custkey < 80 GROUP BY o_custkey), {resolved("u", None)} SELECT key, val FROM resolved""",
 )
 def ingest_and_excise(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where("o_custkey >= 40 and o_custkey < 80")
     rows = o.groupBy(F.col("o_custkey").alias("key")).agg(F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("val")).withColumn("f", F.lit(1))
-    return view.resolve(maintain.ingest(maintain.excise(oplog(spark, d), 40, 80), rows, "f", 1_000_000)).select("key", "val")
-
-
-@query("level_scores", f"WITH {FILES}, l AS (SELECT level, CAST(sum(bytes) AS DOUBLE) AS bytes FROM files GROUP BY level) SELECT a.level, round(a.bytes / b.bytes, 9) AS ratio FROM l a JOIN l b ON b.level = a.level + 1")
-def level_scores(spark: SparkSession, d: str) -> DataFrame:
-    per = files(spark, d).groupBy("level").agg(F.sum("bytes").cast("double").alias("bytes"))
-    below = per.select((F.col("level") - 1).alias("level"), F.col("bytes").alias("below"))
-    return per.join(below, "level").select("level", F.round(F.col("bytes") / F.col("below"), 9).alias("ratio"))
+    log = oplog(spark, d)
+    return view.resolve(maintain.ingest(maintain.excise(log, 40, 80), rows, "f", write.next_number(log))).select("key", "val")
 
 
 @query("disk_usage_by_placement", f"WITH {FILES} SELECT CASE WHEN level < 3 THEN 'local' WHEN level < 6 THEN 'shared' ELSE 'external' END AS placement, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes FROM files GROUP BY 1")
@@ -417,16 +458,17 @@ def disk_usage_by_placement(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).groupBy(place.alias("placement")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
 
 
-@query("protected_ranges_read", f"WITH {LOG}, k AS (SELECT * FROM log WHERE seq < 5000 AND (key BETWEEN 5 AND 14 OR key BETWEEN 70 AND 89)), {resolved('k', None)} SELECT key, val FROM resolved")
+@query("protected_ranges_read", f"WITH {LOG}, k AS (SELECT * FROM log WHERE seq < {at_sql(5)} AND (key BETWEEN 5 AND 14 OR key BETWEEN 70 AND 89)), {resolved('k', None)} SELECT key, val FROM resolved")
 def protected_ranges_read(spark: SparkSession, d: str) -> DataFrame:
-    return view.resolve(oplog(spark, d).where("key between 5 and 14 or key between 70 and 89"), None, 5000).select("key", "val")
+    log = oplog(spark, d)
+    return view.resolve(log.where("key between 5 and 14 or key between 70 and 89"), None, at(log, 5)).select("key", "val")
 
 
 @query("durable_read", f"WITH {LOG}, k AS (SELECT * FROM log WHERE seq < (SELECT max(seq) // 2 FROM log)), {resolved('k', None)} SELECT key, n FROM resolved")
 def durable_read(spark: SparkSession, d: str) -> DataFrame:
     log = oplog(spark, d)
-    flushed = log.agg(F.floor(F.max("seq") / 2).alias("flushed"))  # one row
-    return view.resolve(log.join(F.broadcast(flushed), F.col("seq") < F.col("flushed")).drop("flushed")).select("key", "n")
+    flushed = log.agg(F.expr("max(seq) div 2")).scalar()
+    return view.resolve(log, None, flushed).select("key", "n")
 
 
 @query("skip_point_filter", f"WITH {LOG}, k AS (SELECT * FROM log WHERE key % 4 <> 1), {resolved('k', None)} SELECT key, val FROM resolved")
@@ -434,27 +476,51 @@ def skip_point_filter(spark: SparkSession, d: str) -> DataFrame:
     return view.resolve(oplog(spark, d).where("key % 4 != 1")).select("key", "val")
 
 
-@query("overwrite_merge", f"WITH {LOG} SELECT key, max(seq) AS seq, arg_max(val, seq) AS val FROM log WHERE kind <> 'DEL' GROUP BY key")
+@query("overwrite_merge", f"WITH {LOG} SELECT key, seq, val FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log) WHERE r = 1 AND kind <> 'DEL'")
 def overwrite_merge(spark: SparkSession, d: str) -> DataFrame:
-    return oplog(spark, d).where("kind != 'DEL'").groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("val", "seq").alias("val"))
+    return view.overwritten(oplog(spark, d)).select("key", "seq", "val")
 
 
-@query("single_delete", None)
+SINGLES = f"""singles AS (SELECT key, seq, val, CASE WHEN kind = 'DEL' AND seq % 3 <> 0 THEN 'SINGLEDEL' ELSE kind END AS kind, {STRIPE} FROM log),
+e AS (SELECT *, row_number() OVER (PARTITION BY key, stripe ORDER BY seq DESC) AS i FROM singles)"""
+
+
+def _singles(log: DataFrame) -> DataFrame:
+    return log.withColumn("kind", F.when((F.col("kind") == "DEL") & (F.col("seq") % 3 != 0), "SINGLEDEL").otherwise(F.col("kind")))
+
+
+@query(
+    "single_delete",
+    f"""WITH RECURSIVE {LOG}, {SINGLES},
+m AS (SELECT DISTINCT key, stripe, CAST(0 AS BIGINT) AS i, 'free' AS state, CAST(NULL AS BIGINT) AS pending FROM e
+  UNION ALL SELECT e.key, e.stripe, e.i,
+    CASE WHEN e.kind = 'SINGLEDEL' THEN 'single' WHEN m.state = 'single' AND e.kind IN ('SET', 'MERGE') THEN 'free' WHEN m.state = 'single' THEN 'del' ELSE 'live' END,
+    CASE WHEN m.state = 'free' AND e.kind = 'SINGLEDEL' THEN e.seq ELSE m.pending END
+  FROM m JOIN e ON e.key = m.key AND e.stripe = m.stripe AND e.i = m.i + 1 WHERE m.state IN ('free', 'single')),
+done AS (SELECT key, stripe, max(i) AS i, arg_max(state, i) AS state, arg_max(pending, i) AS pending FROM m GROUP BY key, stripe),
+live AS (SELECT e.* FROM e JOIN done d ON d.key = e.key AND d.stripe = e.stripe AND d.state = 'live' AND e.i >= d.i), {fold_sql('live')}
+SELECT key, stripe, seq, kind, val FROM folded
+UNION ALL SELECT key, stripe, pending, CASE state WHEN 'del' THEN 'DEL' ELSE 'SINGLEDEL' END, NULL FROM done WHERE state IN ('single', 'del')""",
+)
 def single_delete(spark: SparkSession, d: str) -> DataFrame:
-    log = oplog(spark, d).withColumn("kind", F.when(F.col("kind") == "DEL", "SINGLEDEL").otherwise(F.col("kind")))
-    return maintain.single_delete_automaton(log)
+    """A compaction of a log in which two of three deletions are SINGLEDELs."""
+    log = oplog(spark, d)
+    return maintain.compact(_singles(log), stripes(log))
 
 
-@query("deterministic_single_delete", f"WITH {LOG}, w AS (SELECT *, lead(kind) OVER (PARTITION BY key ORDER BY seq DESC) AS older, lead(kind, 2) OVER (PARTITION BY key ORDER BY seq DESC) AS oldest FROM log) SELECT key, seq, coalesce(older <> 'MERGE' AND coalesce(oldest = 'DEL', TRUE), TRUE) AS same FROM w WHERE kind = 'DEL'")
+@query(
+    "deterministic_single_delete",
+    f"""WITH {LOG}, {SINGLES}, k AS (SELECT *, max(seq) OVER p AS top, arg_max(kind, seq) OVER p AS top_kind, lag(kind) OVER (PARTITION BY key ORDER BY seq DESC) AS above FROM singles WINDOW p AS (PARTITION BY key)),
+d AS (SELECT *, coalesce(max(CASE WHEN kind = 'DEL' THEN seq END) OVER (PARTITION BY key), -1) AS del FROM k)
+SELECT key, any_value(top) AS seq, NOT bool_or(seq < top AND seq > del AND kind IN ('SET', 'MERGE') AND above <> 'SINGLEDEL') AS same FROM d WHERE top_kind IN ('SET', 'MERGE') GROUP BY key""",
+)
 def deterministic_single_delete(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("key").orderBy(F.col("seq").desc())
-    log = oplog(spark, d).withColumn("older", F.lead("kind").over(w)).withColumn("oldest", F.lead("kind", 2).over(w))
-    same = (F.col("older") != "MERGE") & F.coalesce(F.col("oldest") == "DEL", F.lit(True))
-    return log.where("kind = 'DEL'").select("key", "seq", F.coalesce(same, F.lit(True)).alias("same"))
+    """Per key that exists, whether a SINGLEDEL would delete it as surely as a DEL."""
+    return maintain.deterministic(_singles(oplog(spark, d)))
 
 
 @query("manifest_current_files", "WITH e AS (SELECT o_orderkey % 500 AS file_id, o_orderkey AS edit_no, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'add' END AS action FROM orders), l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY edit_no DESC, action) AS r FROM e) SELECT file_id, edit_no FROM l WHERE r = 1 AND action = 'add'")
 def manifest_current_files(spark: SparkSession, d: str) -> DataFrame:
     action = F.when(F.col("o_orderstatus") == "F", "delete").otherwise("add")
     edits = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("file_id"), F.col("o_orderkey").alias("edit_no"), action.alias("action"))
-    return view.newest(edits, ["file_id"], [F.col("edit_no").desc(), F.col("action")]).where("action = 'add'").select("file_id", "edit_no")
+    return view.newest(edits, ["file_id"], [F.col("edit_no"), F.col("action") == "add"]).where("action = 'add'").select("file_id", "edit_no")

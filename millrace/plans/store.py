@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import keys
 from millrace.operators import maintain, spans, stats, view, write
-from millrace.plans.catalogue import COAL, DELS, FILES, FRAGS, LOG, MARKS, STRIPES, query, resolved
-from millrace.sources.tables import files, oplog, range_deletions, range_keys, table
+from millrace.operators.deal import nearest, ranked
+from millrace.plans.catalogue import COAL, DELS, FILES, FRAGS, LOG, MARKS, STRIPE, at, at_sql, query, resolved, stripes
+from millrace.sources.tables import files, oplog, range_deletions, range_keys, separate, table
 
 CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
-BASE = 10_000_000
 #: Files with the newest number of their entries, and range deletions over their keys.
 AGED = f"""aged AS (SELECT o_orderkey // 100 AS file_id, min(o_orderkey) AS smallest, max(o_orderkey) AS largest, max(o_custkey) AS max_seq,
   CAST(sum({CENTS}) AS BIGINT) AS bytes FROM orders GROUP BY 1)"""
@@ -37,7 +36,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "apply_batch",
-    f"""WITH {LOG}, b AS (SELECT o_custkey AS key, {BASE} + o_orderkey AS seq,
+    f"""WITH {LOG}, b AS (SELECT o_custkey AS key, (SELECT max(seq) + 1 FROM log) + o_orderkey AS seq,
 CASE o_orderstatus WHEN 'F' THEN 'DEL' WHEN 'O' THEN 'SET' ELSE 'MERGE' END AS kind, {CENTS} AS val FROM orders),
 u AS (SELECT key, seq, kind, val FROM log UNION ALL SELECT * FROM b), {resolved("u", None)} SELECT key, val, n, seq FROM resolved""",
 )
@@ -45,7 +44,7 @@ def apply_batch(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", "DEL").when(F.col("o_orderstatus") == "O", "SET").otherwise("MERGE")
     batch = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ordinal"), kind.alias("kind"), _cents().alias("val"))
     log = oplog(spark, d).select("key", "seq", "kind", "val")
-    return view.resolve(log.unionByName(write.numbered(batch, BASE))).select("key", "val", "n", "seq")
+    return view.resolve(log.unionByName(write.numbered(batch, write.next_number(log)))).select("key", "val", "n", "seq")
 
 
 @query(
@@ -57,7 +56,7 @@ def join_batches(spark: SparkSession, d: str) -> DataFrame:
     """A second batch applied to a first: its ordinals start where the first ends."""
     first = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ordinal"), F.lit("SET").alias("kind"), _cents().alias("val"))
     second = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("ordinal"), F.lit("MERGE").alias("kind"), F.round(F.col("c_acctbal") * 100).cast("long").alias("val"))
-    return view.resolve(write.numbered(write.joined([(first, first.count()), (second, 0)]), 0)).select("key", "val", "seq")
+    return view.resolve(write.numbered(write.joined([first, second]), 0)).select("key", "val", "seq")
 
 
 @query("wide_tombstones", f"WITH {AGED}, {WIDE} SELECT file_id, bytes FROM aged a WHERE EXISTS (SELECT 1 FROM wide w WHERE w.start <= a.smallest AND a.largest < w.stop AND a.max_seq < w.seq)")
@@ -66,12 +65,6 @@ def wide_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return maintain.wholly_deleted(_aged(spark, d), _wide(spark, d)).select("file_id", "bytes")
 
 
-@query("table_stats", f"WITH {AGED}, {WIDE} SELECT w.start, count(*) AS n_files, CAST(sum(a.bytes) AS BIGINT) AS bytes FROM wide w JOIN aged a ON a.smallest < w.stop AND a.largest >= w.start AND a.max_seq < w.seq GROUP BY w.start")
-def table_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of older files beneath each range deletion."""
-    return maintain.beneath(_aged(spark, d), _wide(spark, d)).groupBy("start").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
-
-
 @query(
     "ingest_target_level",
     f"""WITH {FILES}, n AS (SELECT s_suppkey AS id, s_suppkey * 150 AS lo, s_suppkey * 150 + 40 AS hi FROM supplier)
@@ -100,31 +93,27 @@ def checkpoint_span(spark: SparkSession, d: str) -> DataFrame:
     return o.join(hit, "file_id", "left_semi").select("key")
 
 
-@query("change_feed", f"WITH {LOG}, f AS (SELECT key, seq, kind, val FROM log WHERE key >= 30 AND key < 60 AND seq < 7000), t AS (SELECT key, seq, kind, val FROM log WHERE (key < 30 OR key >= 60) AND seq < 2000 UNION ALL SELECT * FROM f), {resolved('t', None)} SELECT key, val FROM resolved")
+@query("change_feed", f"WITH {LOG}, f AS (SELECT key, seq, kind, val FROM log WHERE key >= 30 AND key < 60 AND seq < {at_sql(7)}), t AS (SELECT key, seq, kind, val FROM log WHERE (key < 30 OR key >= 60) AND seq < {at_sql(2)} UNION ALL SELECT * FROM f), {resolved('t', None)} SELECT key, val FROM resolved")
 def change_feed(spark: SparkSession, d: str) -> DataFrame:
     """A span of one store's entries put in place of another's."""
     log = oplog(spark, d).select("key", "seq", "kind", "val")
-    feed = view.visible(log, 7000).where("key >= 30 and key < 60")
-    return view.resolve(maintain.excise(view.visible(log, 2000), 30, 60).unionByName(feed)).select("key", "val")
+    feed = view.visible(log, at(log, 7)).where("key >= 30 and key < 60")
+    return view.resolve(maintain.excise(view.visible(log, at(log, 2)), 30, 60).unionByName(feed)).select("key", "val")
 
 
-@query("separated_values", "SELECT doc_id, source, CASE WHEN n_chars >= 500 THEN 'blob' ELSE 'inline' END AS place, n_chars, length(text) AS fetched FROM documents")
+@query("separated_values", "SELECT doc_id, source, CASE WHEN length(text) >= 500 THEN 'blob' ELSE 'inline' END AS place, CASE WHEN length(text) < 500 THEN text END AS inline, length(text) AS size FROM documents WHERE text IS NOT NULL")
 def separated_values(spark: SparkSession, d: str) -> DataFrame:
-    """Large values live apart and are fetched by reference."""
-    docs = table(spark, d, "documents")
-    place = F.when(F.col("n_chars") >= 500, "blob").otherwise("inline")
-    refs = docs.select("doc_id", "source", place.alias("place"), "n_chars")
-    values = docs.select("doc_id", F.length("text").cast("long").alias("fetched"))
-    return refs.join(values, "doc_id")
+    """Large values live apart: what a row keeps of each, by one look at it."""
+    return separate(table(spark, d, "documents").where("text is not null"), "text", 500).select("doc_id", "source", "place", "inline", "size")
 
 
-@query("rangekey_compaction", f"""WITH {MARKS}, {FRAGS}, st AS (SELECT *, CAST(seq >= 3000 AS INT) + CAST(seq >= 6000 AS INT) AS stripe FROM frags),
+@query("rangekey_compaction", f"""WITH {LOG}, {MARKS}, {FRAGS}, st AS (SELECT *, {STRIPE} FROM frags),
 dead AS (SELECT *, coalesce(max(CASE WHEN kind = 'DEL' THEN seq END) OVER (PARTITION BY start, stop, stripe), -1) AS dead FROM st),
 r AS (SELECT *, row_number() OVER (PARTITION BY start, stop, stripe, kind = 'DEL', CASE WHEN kind = 'DEL' THEN 0 ELSE suffix END ORDER BY seq DESC, CASE WHEN kind = 'SET' THEN 0 ELSE 1 END, val DESC) AS r FROM dead WHERE seq >= dead)
 SELECT start, stop, stripe, kind, CASE WHEN kind <> 'DEL' THEN suffix END AS suffix, seq FROM r WHERE r = 1 AND NOT (stripe = 0 AND kind <> 'SET')""")
 def rangekey_compaction(spark: SparkSession, d: str) -> DataFrame:
     """Range keys coalesced within each stripe; nothing lies beneath the last one, so only SETs stay there."""
-    return maintain.compact_range_keys(spans.fragments(range_keys(spark, d)), STRIPES).select("start", "stop", "stripe", "kind", "suffix", "seq")
+    return maintain.compact_range_keys(spans.fragments(range_keys(spark, d)), stripes(oplog(spark, d))).select("start", "stop", "stripe", "kind", "suffix", "seq")
 
 
 @query("defragment_internal", f"""WITH {MARKS}, {FRAGS}, p AS (SELECT *, CASE WHEN lag(stop) OVER w = start THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT * FROM frags) WINDOW w AS (PARTITION BY seq, kind, suffix, val ORDER BY start)),
@@ -137,20 +126,19 @@ def defragment_internal(spark: SparkSession, d: str) -> DataFrame:
 @query("span_at_or_before", f"WITH {MARKS}, p AS (SELECT DISTINCT l_suppkey * 3 AS probe FROM lineitem) SELECT probe, (SELECT max(start) FROM marks WHERE start <= probe) AS start FROM p")
 def span_at_or_before(spark: SparkSession, d: str) -> DataFrame:
     """Per probe the start of the last span that starts at it or before."""
-    probes = table(spark, d, "lineitem").select((F.col("l_suppkey") * 3 + 1).alias("probe")).distinct()
-    found = view.seek(range_keys(spark, d).select(F.col("start").alias("key")).distinct(), probes, False)
-    return found.select((F.col("probe") - 1).alias("probe"), F.col("found").alias("start"))
+    probes = table(spark, d, "lineitem").select((F.col("l_suppkey") * 3).alias("key")).distinct()
+    return nearest(range_keys(spark, d).select(F.col("start").alias("key"), "start").distinct(), probes, "key", ["start"]).withColumnRenamed("key", "probe")
 
 
 @query("range_key_changed", f"""WITH {LOG}, {MARKS}, {FRAGS}, {COAL}, sp AS (SELECT start, stop, count(*) AS n_keys FROM coal GROUP BY ALL), k AS (SELECT DISTINCT key FROM log)
-SELECT key, n_keys, start IS DISTINCT FROM lag(start) OVER w OR lag(key) OVER w IS NULL AS changed FROM k LEFT JOIN sp ON key >= start AND key < stop WINDOW w AS (PARTITION BY key // 8 ORDER BY key)""")
+SELECT key, n_keys, start IS DISTINCT FROM lag(start) OVER w OR lag(key) OVER w IS NULL AS changed FROM k LEFT JOIN sp ON key >= start AND key < stop WINDOW w AS (ORDER BY key)""")
 def range_key_changed(spark: SparkSession, d: str) -> DataFrame:
-    """The range keys over each point, and whether they differ from those of the point before, within cells of the key space."""
+    """The range keys over each point, and whether they differ from those of the point before."""
     sp = spans.coalesce(spans.fragments(range_keys(spark, d))).groupBy("start", "stop").agg(F.count(F.lit(1)).alias("n_keys"))
     k = oplog(spark, d).select("key").distinct()
-    hit = view.cover(k, sp, "inner", F.lit(True)).select(F.col("p.key").alias("key"), F.col("s.start").alias("start"), F.col("s.n_keys").alias("n_keys"))
-    w = Window.partitionBy(F.expr("key div 8")).orderBy("key")
-    return k.join(hit, "key", "left").select("key", "n_keys", (~F.col("start").eqNullSafe(F.lag("start").over(w)) | F.lag("key").over(w).isNull()).alias("changed"))
+    rows = ranked(k.join(spans.covering(k, sp, True).drop("stop"), "key", "left"), "key", "n")
+    past = rows.select((F.col("n") + 1).alias("n"), F.col("start").alias("_past"))
+    return rows.join(past, "n", "left").select("key", "n_keys", ((F.col("n") == 0) | ~F.col("start").eqNullSafe(F.col("_past"))).alias("changed"))
 
 
 @query("files_listing", f"WITH {FILES} SELECT file_id, level, smallest, largest, CASE WHEN smallest >= 300 AND largest <= 2000 THEN bytes ELSE bytes * (least(largest, 2000) - greatest(smallest, 300) + 1) // (largest - smallest + 1) END AS span_bytes FROM files WHERE smallest <= 2000 AND largest >= 300")
@@ -166,40 +154,6 @@ def count_and_size_by_placement(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).groupBy("level").agg(*each("local", local), *each("shared", ~local))
 
 
-@query("size_buckets", "SELECT CAST(floor(log2(greatest(n_chars, 1))) AS INT) AS bucket, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
-def size_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Values by the power of two of their size."""
-    b = F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")
-    return table(spark, d, "documents").groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("bytes"))
-
-
-@query("parse_compaction_log", """WITH j AS (SELECT o_custkey AS node, o_orderkey AS job, o_orderkey % 6 AS from_level, o_orderkey % 6 + 1 AS to_level, o_custkey % 90 + 1 AS mb, o_custkey % 50 AS took FROM orders)
-SELECT node, from_level, to_level, count(*) AS n, CAST(sum(mb * 1048576) AS BIGINT) AS bytes, CAST(sum(took) AS BIGINT) AS seconds FROM j WHERE job % 9 <> 0 GROUP BY ALL""")
-def parse_compaction_log(spark: SparkSession, d: str) -> DataFrame:
-    """Starts and ends of jobs read from log lines, paired by node and job; jobs that haven't ended are left out."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.expr("timestamp_seconds(1700000000 + o_orderkey)").alias("at"))
-    stamp = lambda c: F.date_format(c, "yyMMdd HH:mm:ss")
-    began = o.select(F.format_string("I%s [n%d] [JOB %d] compacting L%d -> L%d (%dMB)", stamp(F.col("at")), "o_custkey", "o_orderkey", F.col("o_orderkey") % 6, F.col("o_orderkey") % 6 + 1, F.col("o_custkey") % 90 + 1).alias("line"))
-    done = o.where("o_orderkey % 9 != 0").select(F.format_string("I%s [n%d] [JOB %d] compacted", stamp(F.expr("at + make_dt_interval(0, 0, 0, o_custkey % 50)")), "o_custkey", "o_orderkey").alias("line"))
-    return stats.compaction_jobs(began.union(done)).groupBy("node", "from_level", "to_level").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("seconds").alias("seconds"))
-
-
-@query("manifest_summarize", f"SELECT date_trunc('month', o_orderdate) AS month, o_orderkey % 7 AS level, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN {CENTS} ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN {CENTS} ELSE 0 END) AS BIGINT) AS removed FROM orders GROUP BY ALL")
-def manifest_summarize(spark: SparkSession, d: str) -> DataFrame:
-    gone = F.col("o_orderstatus") == "F"
-    return table(spark, d, "orders").groupBy(F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz").alias("month"), (F.col("o_orderkey") % 7).alias("level")).agg(
-        F.sum(F.when(~gone, _cents()).otherwise(0)).alias("added"), F.sum(F.when(gone, _cents()).otherwise(0)).alias("removed")
-    )
-
-
-@query("version_history", "WITH e AS (SELECT o_orderkey // 50 AS edit, o_orderkey % 7 AS level, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS d FROM orders), g AS (SELECT edit, level, sum(d) AS d FROM e GROUP BY ALL) SELECT edit, level, CAST(sum(d) OVER (PARTITION BY level ORDER BY edit) AS BIGINT) AS live FROM g")
-def version_history(spark: SparkSession, d: str) -> DataFrame:
-    """Files of each level after every edit."""
-    e = table(spark, d, "orders").select(F.expr("o_orderkey div 50").alias("edit"), (F.col("o_orderkey") % 7).alias("level"), F.when(F.col("o_orderstatus") == "F", -1).otherwise(1).alias("d"))
-    per = e.groupBy("edit", "level").agg(F.sum("d").alias("d"))
-    return per.select("edit", "level", F.sum("d").over(Window.partitionBy("level").orderBy("edit")).alias("live"))
-
-
 @query("log_dump", f"WITH {LOG} SELECT seq // 64 AS batch, min(seq) AS first_seq, count(*) AS n, string_agg(kind || ':' || key, ' ' ORDER BY seq) AS ops FROM log GROUP BY 1")
 def log_dump(spark: SparkSession, d: str) -> DataFrame:
     """A log's batches with their operations in order."""
@@ -213,20 +167,6 @@ def sorted_check(spark: SparkSession, d: str) -> DataFrame:
     return stats.order_violations(table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "file_id").withColumnRenamed("l_orderkey", "key"), "file_id", "key", ["l_shipdate", "key", "l_linenumber"])
 
 
-@query("rolling_value", f"WITH {LOG}, t AS (SELECT l.key, l.seq, l.val, CAST(epoch(date_trunc('second', e.ts)) AS BIGINT) AS sec FROM log l JOIN events e ON e.event_id + 10 = l.seq) SELECT key, seq, max(seq) OVER (PARTITION BY key ORDER BY sec RANGE BETWEEN UNBOUNDED PRECEDING AND 3600 PRECEDING) AS hour_ago FROM t")
-def rolling_value(spark: SparkSession, d: str) -> DataFrame:
-    """For each entry the newest one of its key that is an hour older or more."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") + 10).alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-    w = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, -3600)
-    return e.select("key", "seq", F.max("seq").over(w).alias("hour_ago"))
-
-
-@query("category_stats", "SELECT l_returnflag AS category, count(*) AS reads, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS cached FROM lineitem GROUP BY ROLLUP (l_returnflag)")
-def category_stats(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("l_quantity").cast("long")
-    return table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "category").rollup("category").agg(F.count(F.lit(1)).alias("reads"), F.sum(q).alias("bytes"), F.sum(F.when(F.col("l_linestatus") == "O", q).otherwise(0)).alias("cached"))
-
-
 @query("key_encodings", """SELECT doc_id, rpad(hex(encode(substr(source, 1, 8))), 16, '0') AS short, doc_id * 256 + 1 AS trailer, doc_id AS seq, CAST(1 AS BIGINT) AS kind, hex(encode(source)) || '00' AS successor FROM documents WHERE source IS NOT NULL""")
 def key_encodings(spark: SparkSession, d: str) -> DataFrame:
     s, t = F.encode("source", "UTF-8"), keys.trailer(F.col("doc_id"), F.lit(1).cast("long"))
@@ -238,5 +178,56 @@ def key_encodings(spark: SparkSession, d: str) -> DataFrame:
 @query("deletion_coverage", f"WITH {LOG}, {DELS} SELECT d.start, d.seq, count(*) AS n, CAST(sum(l.val) AS BIGINT) AS bytes FROM dels d JOIN log l ON l.key >= d.start AND l.key < d.stop AND l.seq < d.seq GROUP BY ALL")
 def deletion_coverage(spark: SparkSession, d: str) -> DataFrame:
     """What each range deletion shadows."""
-    hit = view.cover(oplog(spark, d), range_deletions(spark, d), "inner", F.col("s.seq") > F.col("p.seq"))
-    return hit.groupBy(F.col("s.start").alias("start"), F.col("s.seq").alias("seq")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.val").alias("bytes"))
+    hit = spans.covering(oplog(spark, d).withColumnRenamed("seq", "own"), range_deletions(spark, d)).where("own < seq")
+    return hit.groupBy("start", "seq").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("bytes"))
+
+
+@query("steps", f"WITH {LOG}, k AS (SELECT DISTINCT key FROM log) SELECT key, lag(key) OVER w AS previous, lead(key) OVER w AS next FROM k WINDOW w AS (ORDER BY key)")
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """Each key with its neighbours."""
+    return view.steps(oplog(spark, d).select("key"))
+
+
+@query("seek_with_limit", """WITH probes AS (SELECT DISTINCT l_partkey * 3 AS probe, l_partkey * 3 + 4 AS lim FROM lineitem), ks AS (SELECT DISTINCT o_orderkey * 7 AS key FROM orders),
+f AS (SELECT probe, lim, min(key) AS found FROM probes LEFT JOIN ks ON key >= probe GROUP BY ALL) SELECT probe, CASE WHEN found < lim THEN found END AS found, coalesce(found >= lim, FALSE) AS at_limit FROM f""")
+def seek_with_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Seeks that stop at a limit: a key past it isn't given, but the position isn't exhausted."""
+    probes = table(spark, d, "lineitem").select((F.col("l_partkey") * 3).alias("probe"), (F.col("l_partkey") * 3 + 4).alias("lim")).distinct()
+    return view.seek(table(spark, d, "orders").select((F.col("o_orderkey") * 7).alias("key")), probes, True, "lim").drop("lim")
+
+
+@query("seek_binary", """WITH k AS (SELECT DISTINCT encode(coalesce(source, '')) AS key FROM documents), p AS (SELECT DISTINCT encode(role) AS probe FROM conversations WHERE role IS NOT NULL)
+SELECT hex(probe) AS probe, hex(min(key)) AS found FROM p LEFT JOIN k ON key >= probe GROUP BY probe""")
+def seek_binary(spark: SparkSession, d: str) -> DataFrame:
+    """Seeks over binary keys in byte order."""
+    k = table(spark, d, "documents").select(F.encode(F.coalesce("source", F.lit("")), "UTF-8").alias("key"))
+    probes = table(spark, d, "conversations").where("role is not null").select(F.encode("role", "UTF-8").alias("probe")).distinct()
+    return view.seek(k, probes, True).select(F.hex("probe").alias("probe"), F.hex("found").alias("found"))
+
+
+@query("engine_keys", "SELECT user_id, hex(encode(event_type)) || '00' || lpad(hex(epoch_us(ts) * 1000), 16, '0') || CASE WHEN event_id % 2 = 1 THEN lpad(hex(event_id), 8, '0') || '0D' ELSE '09' END AS key, event_type AS prefix, epoch_us(ts) * 1000 AS wall, CASE WHEN event_id % 2 = 1 THEN event_id ELSE 0 END AS logical FROM events")
+def engine_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Versioned keys written in their engine form, and read back."""
+    logical = F.when(F.col("event_id") % 2 == 1, F.col("event_id"))
+    key = keys.engine_key(F.encode("event_type", "UTF-8"), F.unix_micros(F.col("ts").cast("timestamp")) * 1000, logical)
+    rows = table(spark, d, "events").select("user_id", key.alias("key"))
+    return rows.select("user_id", F.hex("key").alias("key"), F.decode(keys.engine_prefix("key"), "UTF-8").alias("prefix"), keys.engine_wall("key").alias("wall"), keys.engine_logical("key").alias("logical"))
+
+
+@query("batch_summary", "SELECT count(*) FILTER (event_type <> 'view') AS n, count(*) FILTER (event_type = 'view') AS n_log, count(*) = 0 AS empty FROM events")
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "LOGDATA").otherwise("SET")
+    return write.batch_summary(table(spark, d, "events").select(kind.alias("kind"), F.col("event_id").alias("ordinal"))).drop("kinds")
+
+
+@query("foreign_range_keys", f"WITH {MARKS}, {FRAGS}, {COAL} SELECT start, stop, suffix, val, CAST(77 AS BIGINT) AS seq FROM coal")
+def foreign_range_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Range keys of another store's file, all at one number."""
+    return spans.foreign(range_keys(spark, d), 77).select("start", "stop", "suffix", "val", "seq")
+
+
+@query("span_filter", f"WITH {MARKS} SELECT start * 2 AS start, stop * 2 AS stop, seq FROM marks WHERE kind = 'SET'")
+def span_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Spans filtered by their operations and mapped to other bounds."""
+    kept = spans.keep(range_keys(spark, d), F.col("kind") == "SET")
+    return spans.transform(kept, lambda x: x.withColumns({"start": F.col("start") * 2, "stop": F.col("stop") * 2})).select("start", "stop", "seq")

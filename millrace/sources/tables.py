@@ -56,6 +56,39 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("level", F.col("file_id") % 7)
 
 
-def write_sorted(df: DataFrame, path: str, keys: list[str], parts: int) -> None:
-    """A store's files: dealt by key range and sorted, so scans prune by the files' bounds."""
-    df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+def separate(df: DataFrame, value: str, least: int) -> DataFrame:
+    """df with where each value goes: place (blob or inline), inline (the value if it is short), size."""
+    size = F.length(value)
+    big = size >= least
+    return df.withColumns({"place": F.when(big, "blob").otherwise("inline"), "inline": F.when(~big, F.col(value)), "size": size.cast("long")})
+
+
+#: Profiles of compression by name, as Parquet codecs.
+PROFILES = {"none": "uncompressed", "fastest": "lz4_raw", "fast": "snappy", "balanced": "zstd", "good": "zstd"}
+
+
+def write_store(log: DataFrame, path: str, profile: str = "balanced", parts: int | None = None) -> None:
+    """A store's files: dealt by key range and sorted, so scans prune by the files' bounds; what newer entries hide lies
+    in a partition of its own, and a bloom filter on the key spares files to point reads."""
+    newest = log.groupBy("key").agg(F.max("seq").alias("_newest"))
+    marked = log.join(newest, "key").withColumn("obsolete", F.col("seq") < F.col("_newest")).drop("_newest")
+    dealt = marked.repartitionByRange(parts, "key") if parts else marked.repartitionByRange("key")
+    writer = dealt.sortWithinPartitions("obsolete", "key", "seq").write.mode("overwrite").partitionBy("obsolete")
+    writer.option("compression", PROFILES[profile]).option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, obsolete: bool = True) -> DataFrame:
+    """A store's entries; without obsolete ones their partition isn't read. Merges fold older entries: read those whole."""
+    df = spark.read.parquet(path)
+    return df.drop("obsolete") if obsolete else df.where("not obsolete").drop("obsolete")
+
+
+def block_intervals(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A property per file: the interval [lower, upper] of each column, to choose files before they are read."""
+    df = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    return df.groupBy("file").agg(*[f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "lower"), (F.max, "upper"))])
+
+
+def matching_files(intervals: DataFrame, column: str, lower: object, upper: object) -> DataFrame:
+    """Files whose interval meets [lower, upper)."""
+    return intervals.where((F.col(f"{column}_lower") < F.lit(upper)) & (F.col(f"{column}_upper") >= F.lit(lower))).select("file")
