@@ -171,7 +171,8 @@ def sample(docs: DataFrame, allowed: object, most: int = SAMPLE_DOCS) -> list[tu
     """(text, language) of windows from at most `most` labelled rows of each language, those of the smallest hashes.
 
     The windows' places are drawn by hash over the whole text. A cut by hash per language leaves about four times as
-    many rows before the sort, so few rows move, whatever their number. A row per language reaches the driver.
+    many rows before the sort, so few rows move, whatever their number, and of them the windows only. A row per
+    language is broadcast; there are as many as the model has outputs.
     """
     labelled = docs.where(allowed).where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
     cut = F.when(F.col("n") <= 4 * most, F.lit(2**63 - 1)).otherwise(((4.0 * most / F.col("n") - 0.5) * 2.0**64).cast("long"))
@@ -179,7 +180,7 @@ def sample(docs: DataFrame, allowed: object, most: int = SAMPLE_DOCS) -> list[tu
     wide = WINDOW + 2 * CONTEXT
     room = F.greatest(F.length("text") - wide, F.lit(0)) + 1
     drawn = F.transform(F.array(*[F.lit(k) for k in range(SAMPLE_WINDOWS)]), lambda k: F.substring("text", (F.pmod(F.xxhash64("h", k), room) + 1).cast("int"), F.lit(wide)))
-    few = labelled.join(cuts, F.col("lang") == F.col("_lang")).where("h <= cut").select("lang", "h", F.array_distinct(drawn).alias("parts"))
+    few = labelled.join(F.broadcast(cuts), F.col("lang") == F.col("_lang")).where("h <= cut").select("lang", "h", F.array_distinct(drawn).alias("parts"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "parts"))
     found = few.withColumn("r", first).where(F.col("r") <= most).select("lang", "h", F.explode("parts").alias("part")).orderBy("lang", "h", "part").collect()
     return [(r["part"], r["lang"]) for r in found]
