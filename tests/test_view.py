@@ -222,3 +222,20 @@ def test_stream(spark, tmp_path):
     q = append_log(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
     q.awaitTermination()
     assert rows(latest(spark, str(tmp_path / "out")), "key", "val") == [(1, 10), (2, 3)]
+
+
+def test_kept_state(spark, tmp_path):
+    """Commit by commit the kept state reads like the whole log."""
+    from millrace.streaming.latest import append_log, keep_latest, kept, latest, replay
+
+    r, log = random.Random(8), []
+    for number in range(3):
+        more = [(r.randrange(6), 10 + 30 * number + s, r.choice(["SET", "MERGE", "DEL"]), r.randrange(100)) for s in range(30)]
+        log += more
+        spark.createDataFrame(more, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for run, name in ((keep_latest, "state"), (append_log, "log")):
+            stream = spark.readStream.schema(LOG.replace(" long", " bigint")).parquet(str(tmp_path / "in"))
+            run(stream, str(tmp_path / name), str(tmp_path / f"{name}-check")).awaitTermination()
+        assert rows(kept(spark, str(tmp_path / "state")), "key", "val") == walk(log, [], 10**9)
+    assert rows(latest(spark, str(tmp_path / "log")), "key", "val") == walk(log, [], 10**9)
+    assert replay(spark, str(tmp_path / "log"), 1, 2).count() == 60
