@@ -23,6 +23,8 @@ from millrace.llm.common import discard, lean, materialize, with_row_key
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
+#: Bits of a place; above them stand 32 bits of a window's second hash.
+PLACE = 31
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -51,48 +53,51 @@ def window_hashes(h: np.ndarray, width: int, base: int = _B) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _rows(h: list[np.ndarray], g: list[np.ndarray], row: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
-    """A batch's places. What occurs twice in the batch needs no hash any more (null); a row at -1 stands for it elsewhere."""
+def _rows(h: list[np.ndarray], row: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+    """A batch's places; `at` holds a place and, above its 31 bits, what more the hash has. What occurs twice in the batch
+    needs no hash any more (null); a row of -1 stands for it elsewhere."""
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    h, g, row, at = join(h, np.uint64).view(np.int64), join(g, np.int32), join(row, np.int64), join(at, np.int32)
-    order = np.lexsort((g, h))
+    h, row, at = join(h, np.uint64).view(np.int64), join(row, np.int64), join(at, np.int64)
+    order = np.lexsort((at, h))
     new = np.ones(len(h), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (at[order[1:]] >> PLACE != at[order[:-1]] >> PLACE)
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(h)))
     more, known = order[start[count > 1]], np.zeros(len(h), bool)
     known[order] = np.repeat(count > 1, count)  # places stay in the order of the text, which packs well
     blank = np.zeros(len(more), np.int64)
     hashes = pa.array(np.concatenate([h, h[more]]), mask=np.concatenate([known, blank > 0]))
-    return pa.RecordBatch.from_arrays(
-        [hashes, pa.array(np.concatenate([g, g[more]])), pa.array(np.concatenate([row, blank])), pa.array(np.concatenate([at, (blank - 1).astype(np.int32)]))],
-        ["h", "g", "row", "at"],
-    )
+    return pa.RecordBatch.from_arrays([hashes, pa.array(np.concatenate([row, blank - 1])), pa.array(np.concatenate([at, at[more]]))], ["h", "row", "at"])
 
 
 def repeated(places: DataFrame) -> DataFrame:
-    """Of (h, g, row, at) the places whose h and g occur more than once."""
+    """Of (h, row, at) the places whose hash occurs more than once."""
+
+    def plain(t: pa.Table) -> pa.Table:
+        at = (t.column(1).to_numpy() & ((1 << PLACE) - 1)).astype(np.int32)
+        return pa.table({"row": t.column(0), "at": at})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last place, whose next neighbour isn't known yet
         follows = False  # whether it is like the one before it
         for batch in batches:
             sure = batch.column(0).is_null()
-            yield batch.filter(sure).select([2, 3])
-            t = pa.Table.from_batches([batch.filter(pa.compute.invert(sure))])
+            t = pa.Table.from_batches([batch])
+            yield from plain(t.filter(sure).select([1, 2])).to_batches()
+            t = t.filter(pa.compute.invert(sure))
             t = pa.concat_tables([held, t]) if held is not None else t
             if not t.num_rows:
                 continue
-            h, g = t.column(0).to_numpy(), t.column(1).to_numpy()
+            h, g = t.column(0).to_numpy(), t.column(2).to_numpy() >> PLACE
             same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
             back = np.concatenate([[follows], same])
-            yield from t.select([2, 3]).slice(0, len(h) - 1).filter(pa.array(back[:-1] | same)).combine_chunks().to_batches()
+            yield from plain(t.select([1, 2]).slice(0, len(h) - 1).filter(pa.array(back[:-1] | same))).combine_chunks().to_batches()
             held, follows = t.slice(len(h) - 1), bool(back[-1])
         if held is not None and follows:
-            yield from held.select([2, 3]).to_batches()
+            yield from plain(held.select([1, 2])).combine_chunks().to_batches()
 
     key = F.coalesce("h", F.xxhash64("row", "at"))
-    return places.repartition(key).sortWithinPartitions("h", "g").mapInArrow(lean(run), "row long, at int").where("at >= 0")
+    return places.repartition(key).sortWithinPartitions("h", "at").mapInArrow(lean(run), "row long, at int").where("row >= 0")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,28 +115,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list] = ([], [], [])
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
                 if len(words) >= window:
                     h = window_hashes(word_hashes(words)[:, 0], anchor)
                     at = np.flatnonzero(np.resize(cover, len(h)))
-                    for column, x in zip(out, (h[at], np.zeros(len(at), np.int32), np.full(len(at), row, np.int64), at.astype(np.int32))):
+                    for column, x in zip(out, (h[at], np.full(len(at), row, np.int64), at.astype(np.int64))):
                         column.append(x)
             yield _rows(*out)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list] = ([], [], [])
             for row, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = word_hashes(words_of(text.as_py()))
-                h, g = window_hashes(words[:, 0], window), (window_hashes(words[:, 1], window, _C) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                h, g = window_hashes(words[:, 0], window), (window_hashes(words[:, 1], window, _C) >> np.uint64(32)).astype(np.int64)
                 near = np.zeros(len(h) + 1, np.int64)
                 at = places.values.to_numpy()
                 np.add.at(near, np.clip(at - (window - anchor), 0, len(h)), 1)
                 np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
                 at = np.flatnonzero(np.cumsum(near)[:-1])
-                for column, x in zip(out, (h[at], g[at], np.full(len(at), row, np.int64), at.astype(np.int32))):
+                for column, x in zip(out, (h[at], np.full(len(at), row, np.int64), at.astype(np.int64) | g[at] << PLACE)):
                     column.append(x)
             yield _rows(*out)
 
@@ -154,9 +159,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             columns = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    place = "h long, g int, row long, at int"
+    place = "h long, row long, at long"
     by_row = lambda df: df.groupBy("row").agg(F.collect_list("at").alias("places"))  # noqa: E731  a document's own places
     shared = materialize(by_row(repeated(texts.mapInArrow(lean(anchors), place))), "anchors")
-    found = materialize(by_row(repeated(texts.join(shared, "row").mapInArrow(lean(windows), place))), "windows")
+    # written down, so the shuffle of all texts goes before that of the windows begins
+    some = materialize(texts.join(shared, "row"), "candidates")
     discard(shared)
+    found = materialize(by_row(repeated(some.mapInArrow(lean(windows), place))), "windows")
+    discard(some)
     return docs.join(found, "row", "left").select("doc_id", "text", "places").mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
