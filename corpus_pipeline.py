@@ -13,7 +13,8 @@ LEAST_SCORE = 0.34
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go, those without a letter and those that no language fits."""
+    """Documents without a language go: null texts, those without a letter and those that no language fits. Each row is
+    judged where it lies, so null and repeated ids are no special case; no rows give no rows."""
     return materialize(langid.with_language(docs, LEAST_SCORE), "languages")
 
 
@@ -33,7 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go, each judged by its own text."""
+    """Documents that hold an item of the benchmark go, each row judged by its own text.
+
+    Null and empty texts hold nothing and stay; null and repeated ids, repeated rows, an empty table or benchmark are
+    no special case.
+    """
     key = free_name(docs, "_row")
     rows = with_row_key(docs, key)
     found = decontam.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
@@ -48,7 +53,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens. Null and empty texts are a piece of the closing id; repeated rows are pieces of
+    their own; null ids stay null; no rows give no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
