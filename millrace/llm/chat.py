@@ -145,7 +145,10 @@ def loss_text(segments: Column, template: ChatTemplate | None = None) -> Column:
 
 
 def digest_rows(formatted: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """Per conversation, from the output alone: counts and digests of what reads back."""
+    """Per conversation, from the output alone: counts and digests of what reads back.
+
+    A conversation without turns can't occur, as each has a row; a null conv_id stays null; no rows give no rows.
+    """
     t = template or ChatTemplate()
     read = formatted.select("conv_id", "valid", formatted_text(F.col("segments")).alias("formatted"), loss_text(F.col("segments"), t).alias("loss"))
     read = read.withColumn("turns", read_back(F.col("formatted"), t))
